@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import packing
+from kinosift.llm import packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
     return packing.packed_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and final verdict of every document."""
+    return quality.scored(documents(spark, sf_dir))
+
+
+ORACLES["op9_quality_rules"] = quality.SQL
