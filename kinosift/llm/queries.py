@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import packing, quality
+from kinosift.llm import content_sort, packing, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_quality_rules"] = quality.SQL
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document; of equal texts the largest doc_id stays."""
+    return content_sort.duplicates(documents(spark, sf_dir), keep_largest=True)
+
+
+ORACLES["op5_exact_dedup"] = content_sort.SQL
