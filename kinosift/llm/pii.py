@@ -173,6 +173,7 @@ def _joined(spans: Column) -> Column:
 
 def digest(spans: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, and all spans as one string."""
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter("spans", of(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return spans.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
