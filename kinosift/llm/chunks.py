@@ -32,6 +32,11 @@ class Generations(Generic[V]):
         self.young[key] = value
 
 
+def simple(text: str) -> bool:
+    """Whether each line break of the text is a token of its own, as far as runs of breaks go."""
+    return "\n\n" not in text or not ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"))
+
+
 def clean(part: str) -> bool:
     """Whether the part, but for a line break in front, is free of white space and not empty."""
     rest = part[1:] if part[:1] == "\n" else part
@@ -46,7 +51,7 @@ class PartEncoder(Generic[V]):
         self.inner: Generations[V] = Generations(limit)
 
     def __call__(self, text: str) -> list[V] | None:
-        if "\n\n\n" in text or text.endswith("\n\n") or (self.marker and self.marker in text):
+        if not simple(text) or (self.marker and self.marker in text):
             return None
         parts = text.replace("\n", " \n").split(" ")
         first = parts.pop(0)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import content_sort, packing, pii, quality
+from kinosift.llm import bpe, content_sort, packing, pii, quality, token_counts
+from kinosift.llm.runtime import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,16 @@ ORACLES["op5_exact_dedup"] = content_sort.SQL
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.digest(pii.spans_of(documents(spark, sf_dir)))
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes decoded from them."""
+    return bpe.digest(bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; the cache starts empty."""
+    counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
