@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import bpe, content_sort, packing, pii, quality, token_counts
+from kinosift.llm import bpe, content_sort, language, packing, pii, quality, token_counts, toxicity
 from kinosift.llm.runtime import new_path
 
 QUERIES: dict = {}
@@ -63,3 +63,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document; the cache starts empty."""
     counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-cache"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def remainder(by: int):
+    """crc32 of doc_id as text, modulo by; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out."""
+    docs, held_out = documents(spark, sf_dir), remainder(4) == 2
+    model = language.train(docs.filter(~held_out))
+    return language.detected(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels that aren't held out."""
+    docs, held_out = documents(spark, sf_dir), remainder(3) == 1
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
