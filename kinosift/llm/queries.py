@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import bpe, content_sort, language, packing, pii, quality, token_counts, toxicity
+from kinosift.llm import bpe, content_sort, language, order_minhash, packing, pii, quality, token_counts, toxicity
 from kinosift.llm.runtime import new_path
 
 QUERIES: dict = {}
@@ -84,3 +84,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), remainder(3) == 1
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return order_minhash.near_duplicates(documents(spark, sf_dir))
