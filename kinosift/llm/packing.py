@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinosift.llm.chunks import PartEncoder
 from kinosift.llm.runtime import id_and_text, ship, slices, written
-from kinosift.llm.tokenizers_io import library_tokenizer, vocabulary
+from kinosift.llm.tokenizers_io import library_tokenizer, rank_encoder, vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -28,9 +28,11 @@ _WORKER: dict[str, tuple] = {}
 def _encoder(digest: str, content: bytes):
     if digest not in _WORKER:
         tokenizer = library_tokenizer(content)
-        plain = lambda part: array.array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        plain = lambda text: array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         markers = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        quick = PartEncoder(plain, marker=markers[0] if len(markers) == 1 else None)
+        ranked = rank_encoder(content)
+        part = plain if ranked is None else lambda text: array.array("I", ranked(text)).tobytes()
+        quick = PartEncoder(part, limit=1_000_000, marker=markers[0] if len(markers) == 1 else None)
         _WORKER.clear()
         _WORKER[digest] = (plain, quick if len(markers) <= 1 else lambda text: None)
     return _WORKER[digest]
