@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinosift.llm import bpe, content_sort, language, order_minhash, packing, pii, quality, token_counts, toxicity
+from kinosift.llm import bpe, content_sort, language, order_minhash, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from kinosift.llm.runtime import new_path
 
 QUERIES: dict = {}
@@ -90,3 +90,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return order_minhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 100 bytes that stand earlier."""
+    return suffix_dedup.digest(suffix_dedup.without_repeats(documents(spark, sf_dir)))

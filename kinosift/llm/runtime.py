@@ -65,10 +65,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back."""
+    """Cut the lineage: write a table to the shared folder and read it back.
+
+    The shuffles behind it are no longer needed; collecting the driver's garbage lets Spark delete them.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
