@@ -52,7 +52,7 @@ def _share(part: Column, whole: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts and shares that the rules read; the columns that were there stay as they are.
 
-    A null text counts as empty.  All new names start with an underscore.
+    A null text counts as empty.  All new names start with an underscore, and so must not be there yet.
     """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     cut = docs.withColumns(
@@ -120,8 +120,9 @@ def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The row number keeps the optimizer from pushing the filter below the measures, where it would repeat each of them.
     """
-    found = measured(docs).withColumns({"_passed": ~base_failed() & verdict(rules), "_row": F.monotonically_increasing_id()})
-    return found.filter(F.col("_passed") & (F.col("_row") >= 0)).select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_document"), docs["text"].alias("_text"))
+    found = measured(whole, "_text").withColumns({"_passed": ~base_failed() & verdict(rules), "_row": F.monotonically_increasing_id()})
+    return found.filter(F.col("_passed") & (F.col("_row") >= 0)).select("_document.*")
 
 
 def _sql_verdict(rules: tuple[Rule, ...]) -> str:
