@@ -5,7 +5,7 @@ function orders them by a hash of its own, takes several minima and hashes these
 make documents candidates.  Exact copies are one node from the start.  In a bucket of candidates nobody emits
 all pairs: a leader is compared with every member that isn't yet in its component, then leaves the bucket,
 until one component is left.  So each pair of a bucket is either compared or already connected.  Buckets that stay
-open are split by the agreement of a second sketch.  A pair is a link if the longest common
+open are split by their members' rarest shingles, which loses no link.  A pair is a link if the longest common
 subsequence of the labelled shingles, inside a band, covers enough of both.
 """
 
@@ -30,9 +30,9 @@ SKETCHES = 32
 MINIMA = 6
 #: Documents of few shingles get sketches of two minima as well.
 SHORT, SHORT_SKETCHES, SHORT_MINIMA = 24, 16, 2
-#: Rounds before open buckets are split, and leaders of a split bucket in one round.
+#: Rounds before open buckets are split, and leaders of a split bucket in its first round; each round has as many times more.
 PLAIN_ROUNDS = 2
-LEADERS = 8
+LEADERS = 4
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(SHINGLE)], dtype=np.uint64)
@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labelled = _split(labelled, own)
         lead = labelled.groupBy("bucket").agg(F.min("node").alias("leader"))
         if turn >= PLAIN_ROUNDS:  # several leaders at once; each is the least of its share of the bucket
-            lead = labelled.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("share")).agg(F.min("node").alias("leader")).select("bucket", "leader")
+            shares = F.lit(LEADERS ** (1 + turn - PLAIN_ROUNDS))
+            lead = labelled.groupBy("bucket", F.pmod(F.xxhash64("node"), shares).alias("share")).agg(F.min("node").alias("leader")).select("bucket", "leader")
         lead = lead.join(labelled.select("bucket", F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), ["bucket", "leader"])
         lead = written(lead, "leaders")
         pairs = labelled.join(lead, "bucket").filter("comp <> leader_comp").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
@@ -226,9 +227,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _split(open_rows: DataFrame, own: DataFrame) -> DataFrame:
-    """The same rows in buckets of two sketches: members of a bucket stay together where a second sketch agrees."""
-    marks = own.select("node", F.posexplode("sketch").alias("at", "mark")).select("node", F.xxhash64("at", "mark").alias("second"))
-    rows = open_rows.join(marks, "node").filter("second <> bucket")
-    rows = rows.select("node", "comp", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"))
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-    return written(rows.join(mixed, "bucket").select("node", "bucket", "comp").distinct(), "split")
+    """Buckets of rare shingles for the nodes of open buckets.
+
+    Documents that share a long passage and nothing else fill a bucket without being links.  A link shares at least
+    SIMILARITY of both documents' labelled shingles, so it shares one of the rarest n - ceil(SIMILARITY * n) + 1 of each.  Rarity
+    is counted among these nodes; the passage's shingles are frequent and fall outside.
+    """
+    nodes = open_rows.select("node", "comp").distinct()
+    words = own.select("node", "words").join(nodes, "node").select("node", "words")
+
+    def run(batches):
+        for batch in batches:
+            found = [labelled_shingles(w.values.to_numpy(zero_copy_only=False).view(np.uint32)) for w in batch.column(1)]
+            sizes = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "bucket"])
+
+    rows = written(words.mapInArrow(run, "node long, bucket long"), "shingles")
+    held = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
+    ranked = rows.join(held, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("all"))
+    take = F.size("all") - F.ceil(F.lit(SIMILARITY) * F.size("all") - 1e-9).cast("int") + 1
+    rare = ranked.select("node", F.explode(F.slice("all", F.lit(1), take)).alias("x")).filter("x.n > 1").select("node", "x.bucket")
+    rare = rare.join(nodes, "node")
+    mixed = rare.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
+    return written(rare.join(mixed, "bucket").select("node", "bucket", "comp"), "split")
