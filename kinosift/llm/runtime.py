@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -20,7 +19,7 @@ SLICE_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package, once per application; the driver serves the archive."""
+    """Give every executor this package, once per application, as an archive in the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_kinosift_shipped", False):
         return
@@ -29,10 +28,12 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, str(path.relative_to(root.parent)))
-    folder = tempfile.mkdtemp(prefix="kinosift-")
-    target = os.path.join(folder, "kinosift_code.zip")
-    Path(target).write_bytes(buffer.getvalue())
-    context.addPyFile(target)
+    path = new_path(spark, "code") + "/kinosift_code.zip"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    context.addPyFile(path)
     context._kinosift_shipped = True
 
 

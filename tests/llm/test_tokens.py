@@ -27,7 +27,7 @@ def texts(seed, n=1500):
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(vocabulary(RANKS)[1]), special_tokens={})
 
 
@@ -35,19 +35,19 @@ def test_pattern_is_the_public_one():
     assert PATTERN == P.PATTERN
 
 
-def test_merge_replay_equals_the_library(reference):
+def test_merge_replay_equals_the_library(library):
     codec = bpe.Codec(vocabulary(RANKS)[1], limit=50)
     for some in (texts(1), texts(2), ["", "z" * 3000, "ab" * 2000, " " * 500, "\n" * 9]):
         for text, ids in zip(some, codec.encode(some)):
-            assert ids.tolist() == reference.encode_ordinary(text)
+            assert ids.tolist() == library.encode_ordinary(text)
             assert codec.decode(ids) == text.encode()
 
 
-def test_encoded_rows(spark, table, reference):
+def test_encoded_rows(spark, table, library):
     rows = bpe.digest(bpe.encoded(table(AWKWARD), RANKS, decode=True)).collect()
     want = []
     for doc, text in AWKWARD:
-        ids = reference.encode_ordinary(text or "")
+        ids = library.encode_ordinary(text or "")
         want.append((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
     assert bpe.encoded(table([]), RANKS).count() == 0
