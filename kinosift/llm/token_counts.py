@@ -82,5 +82,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokenizer] * len(found), pa.string()), pa.array(found, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
     chosen.mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
-    counts = stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that both sides of the join are plain exchanges and a hot digest can be split.
+    counts = written(stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
