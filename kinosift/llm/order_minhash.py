@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 import zlib
 
@@ -188,8 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = table.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
     marks = own.select("node", F.posexplode("sketch").alias("at", "mark"))
     marks = marks.select("node", F.xxhash64("at", "mark").alias("bucket"))
-    shared = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    open_rows = written(marks.join(shared, "bucket"), "buckets")
+    open_rows = written(_different(marks), "buckets")
     words = own.select("node", "words")
     seen: DataFrame | None = None
     comps: DataFrame | None = None
@@ -226,12 +226,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return whole.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with several members; of buckets that hold the same members one is enough."""
+    members = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
+    chosen = members.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket"))
+    return rows.join(chosen.select("bucket"), "bucket")
+
+
 def _split(open_rows: DataFrame, own: DataFrame) -> DataFrame:
     """Buckets of rare shingles for the nodes of open buckets.
 
     Documents that share a long passage and nothing else fill a bucket without being links.  A link shares at least
     SIMILARITY of both documents' labelled shingles, so it shares one of the rarest n - ceil(SIMILARITY * n) + 1 of each.  Rarity
-    is counted among these nodes; the passage's shingles are frequent and fall outside.
+    is counted among these nodes; the passage's shingles are frequent and fall outside.  The numbers of shingles of a link differ
+    by SIMILARITY at most, so a bucket holds two neighbouring steps of length.
     """
     nodes = open_rows.select("node", "comp").distinct()
     words = own.select("node", "words").join(nodes, "node").select("node", "words")
@@ -246,7 +254,9 @@ def _split(open_rows: DataFrame, own: DataFrame) -> DataFrame:
     held = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
     ranked = rows.join(held, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("all"))
     take = F.size("all") - F.ceil(F.lit(SIMILARITY) * F.size("all") - 1e-9).cast("int") + 1
-    rare = ranked.select("node", F.explode(F.slice("all", F.lit(1), take)).alias("x")).filter("x.n > 1").select("node", "x.bucket")
-    rare = rare.join(nodes, "node")
+    step = F.floor(F.log(F.size("all")) / math.log(1.001 / SIMILARITY))
+    rare = ranked.select("node", F.explode(F.array(step, step + 1)).alias("step"), F.slice("all", F.lit(1), take).alias("all"))
+    rare = rare.select("node", "step", F.explode("all").alias("x")).filter("x.n > 1").select("node", F.xxhash64("x.bucket", "step").alias("bucket"))
+    rare = written(_different(rare), "rare").join(nodes, "node")
     mixed = rare.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
     return written(rare.join(mixed, "bucket").select("node", "bucket", "comp"), "split")
