@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one Arrow slice may hold before it is handed on.
 SLICE_BYTES = 4 << 20
 
@@ -68,13 +69,25 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back.
 
-    The shuffles behind it are no longer needed; collecting the driver's garbage lets Spark delete them.
+    The shuffles behind it are no longer needed, so Spark is asked to delete them when the write ends.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kinosift_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._kinosift_path)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinosift.llm.runtime import ship, slices, written
+from kinosift.llm.runtime import discard, ship, slices, written
 
 THRESHOLD = 100
 GRAM = 40
@@ -193,7 +193,9 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     least = alike.groupBy("one", "two").agg(F.min(F.struct("uid", "tie", "at")).alias("least"))
     more = alike.join(least, ["one", "two"]).filter(F.struct("uid", "tie", "at") > F.col("least"))
     marks = marks.unionByName(more.select("uid", "tie", F.col("at").alias("start"), (F.col("at") + threshold).alias("end")))
+    discard(windows)
     marks = written(marks.groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("marks")), "marks")
+    discard(alive, firsts, alike)
     whole = base.join(marks.hint("shuffle_hash"), same, "left").select("doc_id", "text", "marks")
     return whole.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
