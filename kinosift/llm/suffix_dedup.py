@@ -176,26 +176,27 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     content = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text")).withColumns({"uid": uid, "tie": F.xxhash64("text")})
     found = base.select("uid", "tie", "text").mapInArrow(_scan(threshold, gram), "gram long, stretch long, uid long, tie long, first int, last int")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # Aggregates are written before they are joined back: both sides are plain exchanges then, and a hot gram can be split.
+    twice = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
     alive = written(found.join(twice, "gram"), "suffixes")
     place = F.struct("uid", "tie", "first")
     firsts = written(alive.groupBy("gram", "stretch").agg(F.min(F.struct("uid", "tie", "first", "last")).alias("least")), "stretches")
     later = alive.join(firsts, ["gram", "stretch"]).filter(place > F.struct("least.uid", "least.tie", "least.first"))
     marks = later.select("uid", "tie", F.col("first").alias("start"), (F.col("last") + threshold).alias("end"))
-    mixed = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    mixed = written(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "mixed-grams")
     single = firsts.join(mixed, "gram").select("least.*").groupBy("uid", "tie").agg(F.collect_list(F.struct("first", "last")).alias("wanted"))
     same = ["uid", "tie"]
     texts = base.select("uid", "tie", "text").join(single.hint("shuffle_hash"), same).select("uid", "tie", "text", "wanted")
     windows = texts.mapInArrow(_windows(threshold), "one long, two long, uid long, tie long, at int")
     windows = written(windows, "windows")
-    again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
+    again = written(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two"), "repeated-windows")
     alike = written(windows.join(again, ["one", "two"]), "equal-windows")
-    least = alike.groupBy("one", "two").agg(F.min(F.struct("uid", "tie", "at")).alias("least"))
+    discard(windows, again)
+    least = written(alike.groupBy("one", "two").agg(F.min(F.struct("uid", "tie", "at")).alias("least")), "first-windows")
     more = alike.join(least, ["one", "two"]).filter(F.struct("uid", "tie", "at") > F.col("least"))
     marks = marks.unionByName(more.select("uid", "tie", F.col("at").alias("start"), (F.col("at") + threshold).alias("end")))
-    discard(windows)
     marks = written(marks.groupBy(*same).agg(F.collect_set(F.struct("start", "end")).alias("marks")), "marks")
-    discard(alive, firsts, alike)
+    discard(twice, alive, firsts, mixed, alike, least)
     whole = base.join(marks.hint("shuffle_hash"), same, "left").select("doc_id", "text", "marks")
     return whole.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
