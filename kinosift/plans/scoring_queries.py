@@ -45,6 +45,13 @@ def cosine(spark, sf_dir):
     return queries(spark, sf_dir).crossJoin(some).select("query_id", "frame_id", F.round(vectors.cosine(F.col("vec"), F.col("emb")), 6).alias("cos"))
 
 
+@query(f"WITH {SQL_FRAMES}, {sql_queries()} SELECT q.query_id, f.frame_id, round(list_dot_product(q.vec, f.emb) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(f.emb, f.emb)) + 1e-6), 6) AS cos FROM queries q, frames f")
+def cosine_all_frames(spark, sf_dir):
+    """The stated queries, broadcast, against every frame."""
+    pairs = frames(spark, sf_dir).crossJoin(F.broadcast(queries(spark, sf_dir)))
+    return pairs.select("query_id", "frame_id", F.round(vectors.cosine(F.col("vec"), F.col("emb")), 6).alias("cos"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS len, round(e[1] * 3 / sqrt(list_dot_product(list_transform(e, lambda x: x * 3), list_transform(e, lambda x: x * 3))), 6) AS head FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def l2_normalize(spark, sf_dir):
     rows = frames(spark, sf_dir)

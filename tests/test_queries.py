@@ -34,3 +34,9 @@ def test_query_equals_sql(spark, sql, name):
 def test_encoder_has_unit_vectors(spark):
     rows = registry.QUERIES["encode_texts"](spark, SF).collect()
     assert rows and all(abs(sum(x * x for x in r["vec"]) - 1) < 1e-5 for r in rows)
+
+
+def test_cosine_reaches_every_frame(spark):
+    found = registry.QUERIES["cosine_all_frames"](spark, SF)
+    every = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert found.select("frame_id").distinct().count() == every and found.count() == every * found.select("query_id").distinct().count()
