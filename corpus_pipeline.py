@@ -14,10 +14,18 @@ from kinosift.llm import content_sort, order_minhash, packing, pii, quality
 from kinosift.llm.runtime import written
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the kept ones, also where it is null."""
-    ids = verdicts.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row id, written so that the ids stay, and the name of its column; doc_ids can repeat or be null."""
+    name = "_row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _kept(docs: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among rows."""
+    ids = rows.select(F.col("row").alias(name))
+    return docs.join(ids.hint("shuffle_hash"), name, "left_semi").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +34,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the smallest doc_id."""
-    return _kept(docs, content_sort.duplicates(docs))
+    """Of texts that are equal but for the case of A-Z, one row, of the smallest doc_id."""
+    docs, row = _numbered(docs)
+    return _kept(docs, row, content_sort.kept_rows(docs, row))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest doc_id."""
-    return _kept(docs, order_minhash.near_duplicates(docs))
+    """One row of each class of near-duplicates, of the smallest doc_id."""
+    docs, row = _numbered(docs)
+    return _kept(docs, row, order_minhash.near_duplicates(docs, row).filter("kept"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

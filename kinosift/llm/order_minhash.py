@@ -122,8 +122,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return shared / (whole - shared)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """A written table: rid (unique), doc_id, digest, sketch, words."""
+def sketched(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A written table: rid (unique; the column row, if named), doc_id, digest, sketch, words."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -134,10 +134,11 @@ def sketched(docs: DataFrame) -> DataFrame:
                 digests.append(digest)
                 marks.append(sketches(labelled_shingles(hashes)))
                 words.append(hashes.view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["doc_id", "digest", "sketch", "words"])
+            more = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), *more], names=["doc_id", "digest", "sketch", "words", "rid"][: 4 + len(more)])
 
-    found = id_and_text(docs).mapInArrow(run, "doc_id long, digest binary, sketch array<long>, words array<int>")
-    return written(found.withColumn("rid", F.monotonically_increasing_id()), "sketched")
+    found = id_and_text(docs, row).mapInArrow(run, "doc_id long, digest binary, sketch array<long>, words array<int>" + (", rid long" if row is not None else ""))
+    return written(found if row is not None else found.withColumn("rid", F.monotonically_increasing_id()), "sketched")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,15 +176,15 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, kept.
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, class_size, kept, and row if docs have a column of unique row ids.
 
     A class is a connected component of exact copies (equal words in lower case) and verified links; class_id is
     its smallest doc_id.  The row with that doc_id is kept, one of them if ids repeat; null doc_ids come
     last, and class_id is null if there is no other.  Null and empty texts are copies of each other.  Other
     columns are ignored.
     """
-    table = sketched(docs)
+    table = sketched(docs, row)
     nodes = table.groupBy("digest").agg(F.min("rid").alias("node"))
     members = written(table.select("rid", "doc_id", "digest").join(nodes, "digest").select("rid", "doc_id", "node"), "members")
     own = table.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = whole.withColumn("comp", F.coalesce("comp", "node") if comps is not None else F.col("node"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     classes = whole.groupBy("comp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    return whole.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    return whole.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), *([] if row is None else [F.col("rid").alias("row")]))
 
 
 def _different(rows: DataFrame) -> DataFrame:

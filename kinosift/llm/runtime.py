@@ -90,9 +90,10 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._kinosift_path)
 
 
-def id_and_text(docs: DataFrame) -> DataFrame:
-    """doc_id as long and text with null as empty; every other column is left behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id as long and text with null as empty, and the column row on request; every other column is left behind."""
+    more = [] if row is None else [F.col(row).cast("long").alias("row")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

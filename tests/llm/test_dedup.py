@@ -134,6 +134,27 @@ def test_no_near_copies(spark, table):
     assert [r.kept for r in order_minhash.near_duplicates(table([(1, "a b c")])).collect()] == [True]
 
 
+def test_stages_keep_one_row_of_each_group(spark, table):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [*AWKWARD, (7, long), (7, long), (7, "other"), (None, long.upper()), (None, "alone"), (None, "alone"), *[(None, f"hot {i % 3}") for i in range(300)], *[(8, "HOT 0")] * 300]
+    first = {}
+    for doc, text in rows:
+        first.setdefault(low(text), []).append(doc)
+    want = sorted((t, str(min((d for d in ids if d is not None), default=None))) for t, ids in first.items())
+    docs = table(rows)
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert exact.columns == docs.columns and sorted((low(r.text), str(r.doc_id)) for r in exact.collect()) == want
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    found = sorted(str(r.doc_id) for r in near.collect())
+    distinct = list(dict.fromkeys((d, low(t)) for d, t in rows))
+    parts = {}
+    for i, (doc, _) in enumerate(distinct):
+        parts.setdefault(str(order_minhash.word_hashes(distinct[i][1])[1]), []).append(doc)
+    assert near.columns == docs.columns and found == sorted(str(min((d for d in ids if d is not None), default=None)) for ids in parts.values())
+
+
 def without_repeats(rows, threshold):
     """Byte by byte: rows (doc_id, text) without repeated ids."""
     seen, out = set(), {}
