@@ -28,10 +28,22 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: The longest run that can hold an account number, at every place where one can start.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NEAR_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 
+#: Characters of an account number by country; of other countries every end is tried, the longest first.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+
 #: Characters on either side of a span in which context words count.
 NEARBY = 40
 #: Score before and gain from a context word, by kind; spans of the method's own kinds need THRESHOLD.
@@ -99,8 +111,26 @@ def _base(text: str) -> list[Span]:
     return found
 
 
+def _ibans(text: str):
+    done = 0
+    for match in _IBAN.finditer(text):
+        start, run = match.start(), match[1]
+        if start < done:
+            continue
+        length, n, ends = IBAN_LENGTHS.get(run[:2]), 0, []
+        for at, c in enumerate(run, start + 1):
+            n += c != " "
+            if c != " " and (n == length if length else n >= 15) and text[at : at + 1] not in _ALNUM:
+                ends.append(at)
+        for end in reversed(ends):
+            if mod97(text[start:end].replace(" ", "")):
+                done = end
+                yield Span("iban", start, end)
+                break
+
+
 def _more(text: str) -> list[Span]:
-    found = [Span("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    found = list(_ibans(text))
     found += [Span("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
     return found + [Span("local_phone", *m.span()) for m in _NEAR_PHONE.finditer(text)]
 

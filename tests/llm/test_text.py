@@ -88,6 +88,20 @@ def test_validators_and_context():
     assert pii.mask("mail a@b.co or 4111 1111 1111 1111.") == "mail [EMAIL] or [CARD]."
 
 
+def test_ibans_end_at_their_length():
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for after in ("", ".", " EUR 500", " 2024", " BIC COBADEFF", " and", " 1 2 3 4 5 6 7 8 9"):
+            assert [s[:3] for s in pii.find(f"to {iban}{after}") if s[0] == "iban"] == [("iban", 3, 3 + len(iban))], (iban, after)
+        assert pii.mask(f"to {iban} EUR 500") == "to [IBAN] EUR 500"
+        assert pii.mask(f"{iban} {iban}") == "[IBAN] [IBAN]"
+        assert pii.mask(f"REF {iban}") == "REF [IBAN]" and pii.mask(f"AB12 {iban}") == "AB12 [IBAN]"
+        assert not [s for s in pii.find(iban + "7") + pii.find("X" + iban) if s[0] == "iban"]
+    # A country without a known length: the end that the check digits confirm.
+    other = "ZZ" + next(f"{c:02}" for c in range(2, 99) if pii.mod97(f"ZZ{c:02}12345678901234")) + "12345678901234"
+    assert ("iban", 0, len(other)) in [s[:3] for s in pii.find(other)] and pii.mask(other + " EUR").startswith("[IBAN]")
+    pii.find("AB12 " * 50_000)
+
+
 def test_span_digests(spark, table):
     rows = AWKWARD + [(20, "é a@b.co 10.0.0.1")]
     found = {str((r.doc_id, r.spans)): r for r in pii.digest(pii.spans_of(table(rows))).collect()}
