@@ -11,7 +11,8 @@ from kinosift.functions import vectors
 def chains(scores: DataFrame, scenes: int, gap_ms: int, discount: float, mode: str = "add", clip: bool = False) -> DataFrame:
     """task_idx, video_id, ts_ms, score, path for each frame that can end a chain of all scenes.
 
-    scores: task_idx, video_id, ts_ms (unique in a video), s (array of one score per scene).  A frame follows an earlier one
+    scores: task_idx, video_id, ts_ms (unique in a video), s (array of one score per scene); scenes is the most that a task has, and
+    the chains of shorter tasks end with their own last scene.  A frame follows an earlier one
     of the same video at most gap_ms before; of equal predecessors the latest counts.  Every scene is one window over the
     same partitioning, so there is one shuffle and one sort.  In the product mode a frame without predecessor continues with 0
     from the video's first frame.
@@ -31,7 +32,8 @@ def chains(scores: DataFrame, scenes: int, gap_ms: int, discount: float, mode: s
         else:
             dp = F.col("_best.dp") + value(m) * F.lit(discount**m)
             path = F.when(F.col("_best.dp").isNotNull(), F.concat("_best.path", F.array("ts_ms")))
-        held = held.withColumns({"dp": dp, "path": path})
+        longer = F.size("s") > m
+        held = held.withColumns({"dp": F.when(longer, dp).otherwise(F.col("dp")), "path": F.when(longer, path).otherwise(F.col("path"))})
     return held.filter(F.col("dp").isNotNull() & (F.col("dp") > -1e5)).select("task_idx", "video_id", "ts_ms", F.col("dp").alias("score"), "path")
 
 

@@ -192,3 +192,19 @@ def test_sinks_and_increments(spark, tmp_path):
     rows = spark.createDataFrame([("t", 1, "v", 5)], "task_id string, rank int, video_id string, frame_ms long")
     sinks.write_submission(rows, str(tmp_path / "sub"))
     assert spark.read.text(str(tmp_path / "sub")).first()["value"] == '{"task_id":"t","results":[{"rank":1,"video_id":"v","frame_ms":5}]}'
+
+
+def test_retrieval_takes_scenes_and_limits_from_each_task(spark):
+    from kinosift.plans.retrieve import retrieve
+
+    # Video v has six frames; frame k is the k-th unit vector, so scene k of a task matches frame k.  Each task has videos of its own.
+    unit = lambda k, v: [float(i == 6 * v + k) for i in range(18)]
+    frames = spark.createDataFrame([(6 * v + k, v, k, 1000 * k, unit(k, v)) for v in range(3) for k in range(6)], "frame_id long, video_id long, frame_no int, ts_ms long, emb array<double>")
+    asked = [(10 * t + k, t, k, 0, unit(k, t)) for t, scenes in enumerate((1, 2, 5)) for k in range(scenes)]
+    queries = spark.createDataFrame(asked, "query_id long, task_idx long, sent_idx int, seg_idx int, vec array<double>")
+    tasks = spark.createDataFrame([(0, None, 1), (1, 0, 1), (2, 3, 1)], "task_idx long, target_scene int, max_predictions int")
+    config = RetrievalConfig(smoothing_window=0, max_gap_ms=6000, overlap_ms=0, position="first")
+    found = {r.task_idx: r for r in retrieve(frames, queries, config, tasks=tasks).collect()}
+    assert {t: (r.video_id, r.frame_ms, r.start_ms, r.end_ms, r["rank"]) for t, r in found.items()} == {0: (0, 0, 0, 0, 1), 1: (1, 0, 0, 1000, 1), 2: (2, 3000, 0, 4000, 1)}
+    for t, scenes in enumerate((1, 2, 5)):
+        assert found[t].sim == pytest.approx(sum(0.8 * 0.9**m for m in range(scenes)), abs=1e-4)
