@@ -2,11 +2,15 @@
 
 A document's five-word shingles are labelled by their occurrence, so that they are distinct.  Each sketch
 function orders them by a hash of its own, takes several minima and hashes these in text order; equal sketches
-make documents candidates.  Exact copies are one node from the start.  In a bucket of candidates nobody emits
-all pairs: a leader is compared with every member that isn't yet in its component, then leaves the bucket,
-until one component is left.  So each pair of a bucket is either compared or already connected.  Buckets that stay
-open are split by their members' rarest shingles, which loses no link.  A pair is a link if the longest common
-subsequence of the labelled shingles, inside a band, covers enough of both.
+make documents candidates.  Exact copies are one node from the start.  A pair is a link if the longest common
+subsequence of the labelled shingles, inside a band, covers enough of both.  Nobody emits all pairs of a bucket:
+
+* Leaders: every bucket names the member that stands in the largest buckets, which is the text that the others were
+  copied from or close to it, and each member is compared with it.  That joins nearly all of a group of copies in one step.
+* The rest: buckets that still hold several components (copies too far from the leader, documents that share a
+  passage and nothing else) are split by their members' rarest shingles.  A link shares one of the rarest few of
+  each side, and how few follows from both lengths, so this loses no link of a bucket; only pairs of different
+  components meet, and frequent shingles never make a pair.
 """
 
 from __future__ import annotations
@@ -19,21 +23,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinosift.llm.runtime import id_and_text, ship, slices, written
+from kinosift.llm.runtime import discard, id_and_text, ship, slices, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketch functions and minima in each: at similarity 0.8 a pair shares no sketch with probability below 1e-4.
 SKETCHES = 32
 MINIMA = 6
-#: Documents of few shingles get sketches of two minima as well.
-SHORT, SHORT_SKETCHES, SHORT_MINIMA = 24, 16, 2
-#: Rounds before open buckets are split, and leaders of a split bucket in its first round; each round has as many times more.
-PLAIN_ROUNDS = 2
-LEADERS = 4
+#: Documents of few shingles get sketches of two minima as well, as six of few are drawn too rarely from the shared ones.
+SHORT, SHORT_SKETCHES, SHORT_MINIMA = 60, 16, 2
+#: Ratio of the classes of length that the rarest shingles are looked up by.
+STEP = 1.03
 _WORDS = re.compile(r"\w+")
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(SHINGLE)], dtype=np.uint64)
@@ -123,36 +126,43 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketched(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """A written table: rid (unique; the column row, if named), doc_id, digest, sketch, words."""
+    """A written table: rid (unique; the column row, if named), doc_id, digest, size (number of shingles), sketch, words."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
-            digests, marks, words = [], [], []
+            digests, sizes, marks, words = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes, digest = word_hashes(text)
+                shingles = labelled_shingles(hashes)
                 digests.append(digest)
-                marks.append(sketches(labelled_shingles(hashes)))
+                sizes.append(len(shingles))
+                marks.append(sketches(shingles))
                 words.append(hashes.view(np.int32))
             more = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), *more], names=["doc_id", "digest", "sketch", "words", "rid"][: 4 + len(more)])
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), *more]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "sketch", "words", "rid"][: len(columns)])
 
-    found = id_and_text(docs, row).mapInArrow(run, "doc_id long, digest binary, sketch array<long>, words array<int>" + (", rid long" if row is not None else ""))
+    found = id_and_text(docs, row).mapInArrow(run, "doc_id long, digest binary, size int, sketch array<long>, words array<int>" + (", rid long" if row is not None else ""))
     return written(found if row is not None else found.withColumn("rid", F.monotonically_increasing_id()), "sketched")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and comp (its smallest connected node) for all nodes of links (a, b); large-star and small-star steps."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    """node and comp (its smallest connected node) for all nodes of links (a, b); large-star and small-star steps.
+
+    Minima are written before they are joined back, so that both sides are plain exchanges and a hot node can be split.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u > v").distinct(), "components")
+        last, edges = edges, written(small.filter("u > v").distinct(), "components")
+        discard(last, least, large, low)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -161,10 +171,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.withColumn("comp", F.col("node")))
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links; words: node, words."""
-    left = words.select(F.col("node").alias("a"), F.col("words").alias("left"))
-    right = words.select(F.col("node").alias("b"), F.col("words").alias("right"))
+def _links(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """A written table of the pairs (a, b) that are links; words: rid, words."""
+    left = words.select(F.col("rid").alias("a"), F.col("words").alias("left"))
+    right = words.select(F.col("rid").alias("b"), F.col("words").alias("right"))
     texts = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
     def run(batches):
@@ -173,7 +183,12 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
             linked = [similarity(x, y) >= SIMILARITY for x, y in zip(*hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return texts.mapInArrow(run, "a long, b long, linked boolean")
+    return written(texts.mapInArrow(run, "a long, b long, linked boolean").filter("linked").select("a", "b"), "pairs")
+
+
+def _alike(a: str, b: str):
+    """Whether two numbers of shingles can make a link."""
+    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9
 
 
 def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -185,79 +200,90 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     columns are ignored.
     """
     table = sketched(docs, row)
-    nodes = table.groupBy("digest").agg(F.min("rid").alias("node"))
+    # The node of exact copies; written, so that a digest with many rows can be split when it is joined back.
+    nodes = written(table.groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
     members = written(table.select("rid", "doc_id", "digest").join(nodes, "digest").select("rid", "doc_id", "node"), "members")
-    own = table.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
-    marks = own.select("node", F.posexplode("sketch").alias("at", "mark"))
-    marks = marks.select("node", F.xxhash64("at", "mark").alias("bucket"))
-    open_rows = written(_different(marks), "buckets")
-    words = own.select("node", "words")
-    seen: DataFrame | None = None
-    comps: DataFrame | None = None
-    turn = 0
-    while True:
-        if comps is None:
-            labelled = open_rows.withColumn("comp", F.col("node"))
-        else:
-            labelled = open_rows.join(comps, "node", "left").select("node", "bucket", F.coalesce("comp", "node").alias("comp"))
-            mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-            labelled = written(labelled.join(mixed, "bucket"), "open")
-            if labelled.isEmpty():
-                break
-        if turn == PLAIN_ROUNDS:
-            labelled = _split(labelled, own)
-        lead = labelled.groupBy("bucket").agg(F.min("node").alias("leader"))
-        if turn >= PLAIN_ROUNDS:  # several leaders at once; each is the least of its share of the bucket
-            shares = F.lit(LEADERS ** (1 + turn - PLAIN_ROUNDS))
-            lead = labelled.groupBy("bucket", F.pmod(F.xxhash64("node"), shares).alias("share")).agg(F.min("node").alias("leader")).select("bucket", "leader")
-        lead = lead.join(labelled.select("bucket", F.col("node").alias("leader"), F.col("comp").alias("leader_comp")), ["bucket", "leader"])
-        lead = written(lead, "leaders")
-        pairs = labelled.join(lead, "bucket").filter("comp <> leader_comp").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        checked = written(_verified(pairs, words), "pairs")
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
-        found = checked.filter("linked").select("a", "b")
-        comps = components(found if comps is None else found.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        open_rows = written(labelled.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti").select("node", "bucket"), "buckets")
-        turn += 1
-    whole = members if comps is None else members.join(comps, "node", "left")
-    whole = whole.withColumn("comp", F.coalesce("comp", "node") if comps is not None else F.col("node"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    classes = whole.groupBy("comp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    marks = table.select("rid", "size", "sketch").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
+    marks = marks.select(F.col("rid").alias("node"), "size", F.posexplode("sketch").alias("at", "mark")).select("node", "size", F.xxhash64("at", "mark").alias("bucket"))
+    rows = _different(marks)
+    discard(nodes)
+    # Words move once, for candidates only.
+    words = written(table.select("rid", "words").join(rows.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "words")
+    links = _links(_led(rows), words)
+    first = written(components(links), "first-components")
+    more = _links(_split(rows, first, words), words)
+    discard(rows, words)
+    # Later links join components, so only these are put together once more.
+    whole = members.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    roots = first.select(F.col("node").alias("a"), F.col("comp").alias("to_a")), first.select(F.col("node").alias("b"), F.col("comp").alias("to_b"))
+    joined = more.join(roots[0], "a", "left").join(roots[1], "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    second = written(components(joined), "second-components").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    whole = written(whole.join(second, "comp", "left").select("rid", "doc_id", F.coalesce("to", "comp").alias("comp")), "whole")
+    discard(table, members, links, first, more)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    classes = written(whole.groupBy("comp").agg(F.min(least).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
     return whole.join(classes, "comp").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"), *([] if row is None else [F.col("rid").alias("row")]))
 
 
-def _different(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with several members; of buckets that hold the same members one is enough."""
-    members = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    chosen = members.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket"))
-    return rows.join(chosen.select("bucket"), "bucket")
+def _different(marks: DataFrame) -> DataFrame:
+    """A written table of the rows (node, size, bucket, n) of buckets with n > 1 members; of buckets that hold the same members one is enough."""
+    members = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sum"))
+    chosen = written(members.filter("n > 1").groupBy("n", "low", "high", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "chosen")
+    rows = written(marks.join(chosen, "bucket").select("node", "size", "bucket", "n"), "buckets")
+    discard(chosen)
+    return rows
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket and its leader."""
+    scored = rows.groupBy("node").agg(F.sum("n").alias("score"))
+    lead = rows.join(scored, "node").groupBy("bucket").agg(F.max(F.struct("score", "node", "size")).alias("lead"))
+    lead = written(lead.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.size").alias("leader_size")), "leaders")
+    pairs = rows.join(lead, "bucket").filter((F.col("node") != F.col("leader")) & _alike("size", "leader_size"))
+    return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
 
 
-def _split(open_rows: DataFrame, own: DataFrame) -> DataFrame:
-    """Buckets of rare shingles for the nodes of open buckets.
+def _split(rows: DataFrame, comps: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle, for the nodes of buckets that hold several components.
 
-    Documents that share a long passage and nothing else fill a bucket without being links.  A link shares at least
-    SIMILARITY of both documents' labelled shingles, so it shares one of the rarest n - ceil(SIMILARITY * n) + 1 of each.  Rarity
-    is counted among these nodes; the passage's shingles are frequent and fall outside.  The numbers of shingles of a link differ
-    by SIMILARITY at most, so a bucket holds two neighbouring steps of length.
+    A link of documents with n and m labelled shingles shares at least t = ceil(s / (1 + s) * (n + m)) of them for the similarity s.  In any
+    one order of all shingles the first n - t + 1 of one and the first m - t + 1 of the other then meet; here rare ones come first, counted
+    among these nodes.  A node is filed under its first shingles once for each class of lengths that a partner can have, with the
+    number that this class allows.
     """
-    nodes = open_rows.select("node", "comp").distinct()
-    words = own.select("node", "words").join(nodes, "node").select("node", "words")
+    labelled = written(rows.join(comps, "node", "left").select("node", "bucket", F.coalesce("comp", "node").alias("comp")), "labelled")
+    mixed = written(labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket"), "mixed")
+    nodes = written(labelled.join(mixed, "bucket").select("node", "comp").distinct(), "open")
 
     def run(batches):
         for batch in batches:
             found = [labelled_shingles(w.values.to_numpy(zero_copy_only=False).view(np.uint32)) for w in batch.column(1)]
             sizes = [len(f) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "bucket"])
-
-    rows = written(words.mapInArrow(run, "node long, bucket long"), "shingles")
-    held = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
-    ranked = rows.join(held, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "bucket"))).alias("all"))
-    take = F.size("all") - F.ceil(F.lit(SIMILARITY) * F.size("all") - 1e-9).cast("int") + 1
-    step = F.floor(F.log(F.size("all")) / math.log(1.001 / SIMILARITY))
-    rare = ranked.select("node", F.explode(F.array(step, step + 1)).alias("step"), F.slice("all", F.lit(1), take).alias("all"))
-    rare = rare.select("node", "step", F.explode("all").alias("x")).filter("x.n > 1").select("node", F.xxhash64("x.bucket", "step").alias("bucket"))
-    rare = written(_different(rare), "rare").join(nodes, "node")
-    mixed = rare.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
-    return written(rare.join(mixed, "bucket").select("node", "bucket", "comp"), "split")
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "size", "shingle"])
+
+    held = words.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "words")
+    shingles = written(held.mapInArrow(run, "node long, size int, shingle long"), "shingles")
+    counts = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    ranked = shingles.join(counts, "shingle").withColumn("at", F.row_number().over(order) - 1).filter("n > 1")
+    width, share = math.log(STEP), SIMILARITY / (1 + SIMILARITY)
+    own = F.floor(F.log("size") / width + 1e-9).cast("int")
+    # The longest partner that still allows this place among the first ones: t <= size - at.
+    longest = F.floor((F.col("size") - F.col("at")) / share - F.col("size") + 1e-6)
+    reach = math.ceil(math.log(1 / SIMILARITY) / width)
+    top = F.least(own + reach, F.floor(F.log(longest) / width + 1e-9).cast("int"))
+    filed = ranked.withColumns({"own": own, "top": F.when(longest >= 1, top)}).filter(F.col("top") >= F.greatest(F.col("own") - reach, F.lit(0)))
+    filed = filed.select("node", "size", "shingle", "own", F.explode(F.sequence(F.greatest(F.col("own") - reach, F.lit(0)), F.col("top"))).alias("other"))
+    filed = filed.select("node", "size", "own", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") == F.col("other")).alias("same"))
+    sized = written(nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp-sizes")
+    filed = written(filed.join(nodes.join(sized, "comp"), "node"), "filed")
+    # Every pair has a side outside its key's largest component.
+    main = filed.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    main = written(main.filter("low < high").select("key", F.col("main.comp").alias("main")), "keys")
+    inner = written(filed.join(main, "key").select("key", "node", "size", "own", "same", "comp", "main"), "inner")
+    outer = inner.filter("comp <> main").select("key", F.col("node").alias("outer"), F.col("size").alias("outer_size"), F.col("own").alias("outer_own"), F.col("comp").alias("outer_comp"))
+    meet = (F.col("comp") != F.col("outer_comp")) & (F.col("same") | (F.col("own") != F.col("outer_own"))) & _alike("size", "outer_size")
+    pairs = written(inner.join(outer, "key").filter(meet).select(F.greatest("node", "outer").alias("a"), F.least("node", "outer").alias("b")).distinct(), "rare-pairs")
+    discard(labelled, mixed, nodes, shingles, counts, sized, filed, main, inner)
+    return pairs

@@ -114,8 +114,7 @@ def test_near_classes_equal_all_pairs(spark, table, seed):
     assert sum(r.kept for r in found) == len(set(classes(rows).values()))
 
 
-def test_open_buckets_are_split(spark, table, monkeypatch):
-    monkeypatch.setattr(order_minhash, "PLAIN_ROUNDS", 1)
+def test_open_buckets_are_split(spark, table):
     shared = " ".join(f"s{i}" for i in range(70))
     draw = random.Random(5)
     rows = [(i, shared + " " + " ".join(f"t{draw.randint(0, 10**6)}" for _ in range(30))) for i in range(25)] + near_copies(7)
