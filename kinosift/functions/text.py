@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SCENE_CUT = r"[.!?;]|\b(?:then|while|after|before|followed by|the scene shifts to|the scene shifts|scene shifts|the scene cuts to|cuts to|next|later)\b"
 OBJECT_CUT = r",|\b(?:and|with|and then)\b"
 CLAUSE_CUT = r"\b(?:while|and then|before|after)\b"
+# Fixed value: what an object is asked for with.
 OBJECT_PROMPT = "A photo that has: "
 
 _JAVA = "(?iuU)"
@@ -73,6 +74,16 @@ def parsed_response(response: Column, text: Column) -> DataFrame | Column:
     return F.struct(scenes.alias("scenes"), found["target_scene_index"].alias("target_scene_index"))
 
 
+def shot_name(path: Column) -> Column:
+    """The video's name inside a path or file name, as collections write it; empty if there is none."""
+    return F.regexp_extract(path, r"(v3c\d+_\d+)", 1)
+
+
+def ranked_name(path: Column) -> Column:
+    """The rank that a file name ends with, 999 without one."""
+    return F.coalesce(F.regexp_extract(path, r"rank[_-]?(\d+)", 1).try_cast("int"), F.lit(999))
+
+
 def sanitised(name: Column) -> Column:
     """A name that can be a folder."""
     return F.regexp_replace(F.coalesce(name, F.lit("none")), "/", "_")
@@ -94,19 +105,33 @@ def model_segmenter(split: Callable[[str], list[str]]):
     return run
 
 
-SCENE_SEGMENTERS: dict[str, Callable[[Column], Column]] = {"regex": scene_segments, "bert_srl": clause_segments}
-OBJECT_SEGMENTERS: dict[str, Callable[[Column], Column] | None] = {"regex": object_segments, "none": None, "": None}
+def whole_text(text: Column) -> Column:
+    """What the segmenters around a model give where the model isn't there: the text itself."""
+    return F.array(text)
+
+
+#: Names of segmenters around models that are not part of the engine, and what stands in for each until it is registered.
+SCENE_SEGMENTERS: dict[str, Callable[[Column], Column]] = {"regex": scene_segments, "bert_srl": clause_segments, "spacy": whole_text, "sat": whole_text, "scenegraph": whole_text}
+OBJECT_SEGMENTERS: dict[str, Callable[[Column], Column] | None] = {"regex": object_segments, "spacy": whole_text, "sat": whole_text, "scenegraph": whole_text, "none": None, "": None}
+#: Names of language models; these have no stand-in.
+LANGUAGE_MODELS = ("qwen", "phi3", "qwen1.5", "qwen3b", "qwen7b", "qwen3-8b")
 
 
 def register_segmenter(name: str, split: Callable[[str], list[str]], scenes: bool = True) -> None:
     """Make a Python model known by name."""
-    (SCENE_SEGMENTERS if scenes else OBJECT_SEGMENTERS)[name] = model_segmenter(split)
+    (SCENE_SEGMENTERS if scenes else OBJECT_SEGMENTERS)[name.lower()] = model_segmenter(split)
 
 
 def segmenters(scene: str | None = "regex", objects: str | None = "regex"):
-    """The scene and the object segmenter by name; unknown names mean regex, `none` means no objects."""
-    of_object = OBJECT_SEGMENTERS["regex"] if objects is None else OBJECT_SEGMENTERS.get(objects, object_segments)
-    return SCENE_SEGMENTERS.get(scene or "regex", scene_segments), of_object
+    """The scene and the object segmenter by name, in any case; unknown names mean regex, `none` and an empty name mean no objects.
+
+    An error for a language model that isn't registered.
+    """
+    scene, objects = (scene or "regex").lower(), "regex" if objects is None else objects.lower()
+    for name, known in ((scene, SCENE_SEGMENTERS), (objects, OBJECT_SEGMENTERS)):
+        if name in LANGUAGE_MODELS and name not in known:
+            raise ValueError(f"register a segmenter for the language model {name}")
+    return SCENE_SEGMENTERS.get(scene, scene_segments), OBJECT_SEGMENTERS.get(objects, object_segments)
 
 
 def expanded_queries(tasks: DataFrame, sequential: bool = True, split_query: bool = True, scene: str = "regex", objects: str = "none") -> DataFrame:

@@ -19,6 +19,20 @@ def hit_ranks(predictions: DataFrame, labels: DataFrame, strict: bool = False) -
     return predictions.join(labels, "task_id").groupBy("task_id").agg(F.min(F.when(hit, F.col("rank"))).alias("hit_rank"))
 
 
+def unlabelled(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """What a score leaves out: task_id and missing, which is `prediction` for a label without one and `label` the other way round."""
+    predicted, known = predictions.select("task_id").distinct(), labels.select("task_id").distinct()
+    left = known.join(predicted, "task_id", "left_anti").withColumn("missing", F.lit("prediction"))
+    return left.unionByName(predicted.join(known, "task_id", "left_anti").withColumn("missing", F.lit("label")))
+
+
+def submitted_videos(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
+    """task_id and its predicted videos by rank; a task without a submission has none."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "video_id"))), lambda x: x["video_id"])
+    held = predictions.groupBy("task_id").agg(ordered.alias("videos"))
+    return tasks.select("task_id").join(held, "task_id", "left").withColumn("videos", F.coalesce("videos", F.array().cast("array<string>")))
+
+
 def summary(ranks: DataFrame, tasks: int) -> DataFrame:
     """Mean reciprocal rank and recall at the cuts over the number of submitted tasks."""
     recalls = [(F.coalesce(F.sum((F.col("hit_rank") <= k).cast("int")), F.lit(0)) / F.lit(tasks)).alias(f"recall_{k}") for k in CUTS]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinosift.functions import vectors
 
 SCALE = 0.8
-#: Query blocks above this many values are not broadcast; the queries are then dealt in blocks of this size.
+#: About the values that a broadcast block of queries holds; more queries are dealt in several blocks.
 BLOCK_VALUES = 8_000_000
 FRAME_ROWS = 2_048
 
@@ -25,35 +25,75 @@ def similarity(queries: DataFrame, frames: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "frame_id").agg((F.lit(SCALE) * F.avg("d")).alias("sim"))
 
 
-def similarity_blocks(queries: DataFrame, frames: DataFrame) -> DataFrame:
-    """The same over one model, as matrix products of Arrow blocks of frames with blocks of queries.
+def stacked(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """One row per key with the vectors of all its models end to end, in the order of their names, and their number."""
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("model", vector))).alias("_all"))
+    return found.select(key, F.flatten(F.transform("_all", lambda x: x[vector])).alias(vector), F.size("_all").alias("models"))
+
+
+def _blocks(queries: DataFrame):
+    """The query set in broadcast blocks of about BLOCK_VALUES values; a query_id is in one of them."""
+    spark = queries.sparkSession
+    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    blocks = -(-int(shape["n"]) * int(shape["width"] or 1) // BLOCK_VALUES)
+    for block in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vec").collect()
+        if part:
+            yield spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), np.array([r["vec"] for r in part], dtype=np.float64)))
+
+
+def _products(batches, own: np.ndarray, matrix: np.ndarray, scale: float):
+    """Frame ids and the scores of all queries, for a bounded number of frames at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FRAME_ROWS):
+            some = batch.slice(at, FRAME_ROWS)
+            frame = np.asarray(some.column(0))
+            yield frame, scale * (np.asarray(some.column(1).flatten(), dtype=np.float64).reshape(len(frame), -1) @ matrix.T)
+
+
+def similarity_blocks(queries: DataFrame, frames: DataFrame, scale: float = SCALE) -> DataFrame:
+    """The same over one model, or over stacked ones, as matrix products of Arrow blocks of frames with blocks of queries.
 
     A stated query set against all frames: the queries are brought to the driver in blocks of bounded size, and
-    each block is broadcast to one pass over the frames.
+    each block is broadcast to one pass over the frames.  For n stacked models hand in a scale of SCALE / n.
+    """
+    out = None
+    for block in _blocks(queries):
+
+        def run(batches, block=block):
+            own, matrix = block.value
+            for frame, values in _products(batches, own, matrix, scale):
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(own, len(frame))), pa.array(np.repeat(frame, len(own))), pa.array(values.ravel())], names=["query_id", "frame_id", "sim"])
+
+        scored = frames.select("frame_id", "emb").mapInArrow(run, "query_id long, frame_id long, sim double")
+        out = scored if out is None else out.unionByName(scored)
+    return frames.sparkSession.createDataFrame([], "query_id long, frame_id long, sim double") if out is None else out
+
+
+def top_similar(queries: DataFrame, frames: DataFrame, k: int, scale: float = SCALE) -> DataFrame:
+    """The k best frames of each query with their ranks, as top_frames(similarity_blocks(...), k) gives them.
+
+    Each task keeps the k best of its own frames before anything leaves it, so what is shuffled is queries times k times tasks.
     """
-    spark = frames.sparkSession
-    first = queries.select(F.size("vec").alias("n")).limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], "query_id long, frame_id long, sim double")
-    rows, out = max(1, BLOCK_VALUES // max(1, first[0]["n"])), None
-    ids = [r["query_id"] for r in queries.select("query_id").orderBy("query_id").collect()]
-    for begin in range(0, len(ids), rows):
-        part = queries.filter(F.col("query_id").between(ids[begin], ids[min(begin + rows, len(ids)) - 1])).select("query_id", "vec").collect()
-        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), np.array([r["vec"] for r in part], dtype=np.float64)))
+    out = None
+    for block in _blocks(queries):
 
         def run(batches, block=block):
             own, matrix = block.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, FRAME_ROWS):
-                    some = batch.slice(at, FRAME_ROWS)
-                    frame = np.asarray(some.column(0))
-                    emb = some.column(1)
-                    values = SCALE * (np.asarray(emb.flatten(), dtype=np.float64).reshape(len(frame), -1) @ matrix.T)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(own, len(frame))), pa.array(np.repeat(frame, len(own))), pa.array(values.ravel())], names=["query_id", "frame_id", "sim"])
+            ids, best = np.zeros((len(own), 0), dtype=np.int64), np.zeros((len(own), 0))
+            for frame, values in _products(batches, own, matrix, scale):
+                ids = np.concatenate([ids, np.broadcast_to(frame, (len(own), len(frame)))], axis=1)
+                best = np.concatenate([best, values.T], axis=1)
+                if best.shape[1] > k:
+                    order = np.lexsort((ids, -best), axis=1)[:, :k]
+                    ids, best = np.take_along_axis(ids, order, axis=1), np.take_along_axis(best, order, axis=1)
+            if ids.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ids.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], names=["query_id", "frame_id", "sim"])
 
         scored = frames.select("frame_id", "emb").mapInArrow(run, "query_id long, frame_id long, sim double")
         out = scored if out is None else out.unionByName(scored)
-    return out
+    empty = frames.sparkSession.createDataFrame([], "query_id long, frame_id long, sim double")
+    return top_frames(empty if out is None else out, k)
 
 
 def top_frames(sims: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinosift.functions import vectors
+from kinosift.operators.joins import with_nearest
 
 
 def chains(scores: DataFrame, scenes: int, gap_ms: int, discount: float, mode: str = "add", clip: bool = False) -> DataFrame:
@@ -37,16 +38,25 @@ def chains(scores: DataFrame, scenes: int, gap_ms: int, discount: float, mode: s
     return held.filter(F.col("dp").isNotNull() & (F.col("dp") > -1e5)).select("task_idx", "video_id", "ts_ms", F.col("dp").alias("score"), "path")
 
 
+def within(spans: DataFrame, frames: DataFrame, keys: list[str], bucket_ms: int = 60_000) -> DataFrame:
+    """spans joined with the frames whose time ``at`` lies in start_ms..end_ms, ends included.
+
+    Spans are filed under every bucket of time that they touch, so the range join is an equi-join on keys and bucket and a
+    long video is dealt over many tasks.
+    """
+    bucket = lambda c: F.floor(F.col(c) / bucket_ms).cast("long")
+    filed = spans.withColumn("_bucket", F.explode(F.sequence(bucket("start_ms"), bucket("end_ms"))))
+    return filed.join(frames.withColumn("_bucket", bucket("at")), [*keys, "_bucket"]).filter(F.col("at").between(F.col("start_ms"), F.col("end_ms"))).drop("_bucket")
+
+
 def with_best_moment(found: DataFrame, scores: DataFrame) -> DataFrame:
     """Add start_ms, end_ms, best_ms and best_score: the frame inside with the highest mean over the scenes."""
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
     spans = found.withColumns({"start_ms": F.element_at("path", 1), "end_ms": F.element_at("path", -1)})
-    inside = spans.alias("c").join(
-        scores.select("task_idx", "video_id", F.col("ts_ms").cast("long").alias("at"), mean.alias("mean")).alias("f"),
-        ["task_idx", "video_id"],
-    ).filter("at between start_ms and end_ms")
-    best = inside.groupBy("task_idx", "video_id", F.col("c.ts_ms").alias("ts_ms")).agg(F.max_by(F.struct("at", "mean"), F.struct("mean", -F.col("at"))).alias("b"))
-    return spans.join(best, ["task_idx", "video_id", "ts_ms"]).withColumns({"best_ms": F.col("b.at"), "best_score": F.col("b.mean")}).drop("b")
+    keys = ["task_idx", "video_id"]
+    inside = within(spans.select(*keys, "ts_ms", "start_ms", "end_ms"), scores.select(*keys, F.col("ts_ms").cast("long").alias("at"), mean.alias("mean")), keys)
+    best = inside.groupBy(*keys, "ts_ms").agg(F.max_by(F.struct("at", "mean"), F.struct("mean", -F.col("at"))).alias("b"))
+    return spans.join(best, [*keys, "ts_ms"]).withColumns({"best_ms": F.col("b.at"), "best_score": F.col("b.mean")}).drop("b")
 
 
 def chosen_moment(mode: str, target: Column | None = None) -> Column:
@@ -64,26 +74,40 @@ def chosen_moment(mode: str, target: Column | None = None) -> Column:
     return F.when((target != -1) & (target < size) & (index >= 0), F.get(path, index)).otherwise(by_mode)
 
 
+def chosen_edge(mode: str, target: Column | None = None) -> Column:
+    """1 if the moment is its sequence's first frame, -1 if it is its last, otherwise 0; only the former two can slide.
+
+    The place in the sequence counts, not the time: a middle never slides, nor does a target counted from the end.
+    """
+    path, size = F.col("path"), F.size("path")
+    by_mode = {
+        "first": F.lit(0),
+        "second": F.when(size > 1, 1).otherwise(0),
+        "best": (F.array_position(path, F.col("best_ms")) - 1).cast("int"),
+        "median": F.floor(size / 2).cast("int"),
+    }.get(mode, F.lit(-1))
+    index = by_mode if target is None else F.when((target != -1) & (target < size) & (target >= -size), target).otherwise(by_mode)
+    return F.when(size < 2, 0).when(index == 0, 1).when(index == size - 1, -1).otherwise(0)
+
+
 def snapped(moments: DataFrame, frames: DataFrame) -> DataFrame:
-    """frame_ms: the frame of the video nearest to moment_ms, the first on ties."""
-    near = F.min_by("at", F.struct(F.abs(F.col("at") - F.col("moment_ms")), "at"))
-    pairs = moments.join(frames.select("video_id", F.col("ts_ms").cast("long").alias("at")), "video_id")
-    keys = [c for c in moments.columns if c != "path"]
-    return pairs.groupBy(*keys).agg(near.alias("frame_ms"))
+    """frame_ms: the frame of the video nearest to moment_ms, the first on ties; moments without path, of videos that have frames."""
+    times = frames.select("video_id", "ts_ms", F.col("ts_ms").alias("frame_no"))
+    found = with_nearest(moments.drop("path"), "moment_ms", times).filter(F.col("near").isNotNull())
+    return found.withColumn("frame_ms", F.col("near.ts_ms").cast("long")).drop("near")
 
 
 def slid(moments: DataFrame, frames: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Move a chosen first frame right, or a chosen last frame left, over frames that look like it.
 
-    moments: key, video_id, start_ms, end_ms, frame_ms; frames: video_id, ts_ms, emb.  The walk ends at the first
-    frame whose cosine to the fixed start is below the threshold, or at the interval's end.
+    moments: key, video_id, start_ms, end_ms, frame_ms, edge (see chosen_edge); frames: video_id, ts_ms, emb.  The walk ends at the
+    first frame whose cosine to the fixed start is below the threshold, or at the interval's end.
     """
     own = frames.select("video_id", F.col("ts_ms").alias("frame_ms"), F.col("emb").alias("anchor"))
     near = frames.select("video_id", F.col("ts_ms").alias("at"), "emb")
-    rows = moments.join(own, ["video_id", "frame_ms"]).join(near, "video_id").filter("at between start_ms and end_ms")
-    right = F.col("frame_ms") == F.col("start_ms")
-    rows = rows.withColumn("_step", F.when(right, F.col("at") - F.col("frame_ms")).otherwise(F.col("frame_ms") - F.col("at")))
-    rows = rows.filter((right | (F.col("frame_ms") == F.col("end_ms"))) & (F.col("_step") >= 0))
+    walks = moments.filter("edge <> 0").select("key", "video_id", "frame_ms", "edge", *[F.when(F.col("edge") == e, F.col("frame_ms")).otherwise(F.col(c)).alias(c) for e, c in ((1, "start_ms"), (-1, "end_ms"))])
+    rows = within(walks.filter("start_ms <= end_ms"), near, ["video_id"]).join(own, ["video_id", "frame_ms"])
+    rows = rows.withColumn("_step", F.abs(F.col("at") - F.col("frame_ms")))
     alike = F.when((F.col("_step") == 0) | (vectors.cosine(F.col("anchor"), F.col("emb")) >= threshold), 1).otherwise(0)
     rows = rows.withColumn("_alike", alike)
     rows = rows.withColumn("_all", F.min("_alike").over(Window.partitionBy("key").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)))

@@ -18,11 +18,12 @@ def _greedy(ordered, limit: int | None, pad: int = 0):
 
 
 def per_video(candidates: DataFrame, limit: int = 10) -> DataFrame:
-    """Per task and video the best intervals that don't overlap; equal scores go by the later end frame."""
-    rows = F.struct((-F.col("score")).alias("minus"), (-F.col("ts_ms")).alias("late"), "score", "ts_ms", "start_ms", "end_ms")
+    """Per task and video the best intervals that don't overlap; equal scores go by the later end frame.  A path is carried along."""
+    fields = ["score", "ts_ms", "start_ms", "end_ms", *(["path"] if "path" in candidates.columns else [])]
+    rows = F.struct((-F.col("score")).alias("minus"), (-F.col("ts_ms")).alias("late"), *fields)
     groups = candidates.groupBy("task_idx", "video_id").agg(F.array_sort(F.collect_list(rows)).alias("all"))
     kept = groups.select("task_idx", "video_id", F.posexplode(_greedy(F.col("all"), limit)).alias("emit_no", "k"))
-    return kept.select("task_idx", "video_id", "emit_no", F.col("k.score").alias("score"), F.col("k.ts_ms").alias("ts_ms"), F.col("k.start_ms").alias("start_ms"), F.col("k.end_ms").alias("end_ms"))
+    return kept.select("task_idx", "video_id", "emit_no", *[F.col(f"k.{n}").alias(n) for n in fields])
 
 
 def ranked(candidates: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -41,19 +42,25 @@ def formatted(candidates: DataFrame, limit: int = 10) -> DataFrame:
     return ranked(flat, limit)
 
 
-def exclusion(predictions: DataFrame, pad_ms: int, cap: int = 10) -> DataFrame:
+#: Predictions that one fold over all tasks may hold.
+FOLD_ROWS = 1_000_000
+
+
+def exclusion(predictions: DataFrame, pad_ms: int, cap: int = 10, most: int | None = None) -> DataFrame:
     """One interval per moment across all tasks, best first, padded on both compared sides; at most cap per task.
 
-    With at most cap predictions per task the cap can't bind, and the greedy choice falls apart into one fold per video.
-    Otherwise tasks compete for places and one fold over all predictions (tasks times max_predictions rows) decides.
+    most: the number of predictions that no task exceeds, if known.  With at most cap of them the cap can't bind, and the greedy
+    choice falls apart into one fold per video.  Otherwise tasks compete for places and one fold over all predictions decides: a report
+    of tasks times places, not the corpus; an error if it has more than FOLD_ROWS rows.
     """
-    most = predictions.groupBy("task_idx").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
     fields = ("task_idx", "rank", "frame_ms", "sim", "start_ms", "end_ms")
-    if most is None or most <= cap:
+    if most is not None and most <= cap:
         rows = F.struct((-F.col("sim")).alias("minus"), *fields)
         groups = predictions.groupBy("video_id").agg(F.array_sort(F.collect_list(rows)).alias("all"))
         kept = groups.select("video_id", F.explode(_greedy(F.col("all"), None, pad_ms)).alias("k")).select("video_id", *[F.col(f"k.{n}").alias(n) for n in fields])
     else:
+        if predictions.limit(FOLD_ROWS + 1).count() > FOLD_ROWS:
+            raise ValueError(f"more than {FOLD_ROWS} predictions compete for places")
         kept = _capped(predictions, pad_ms, cap)
     order = Window.partitionBy("task_idx").orderBy(F.desc("sim"), "rank")
     return kept.withColumn("new_rank", F.row_number().over(order)).select("task_idx", "video_id", "frame_ms", "sim", "start_ms", "end_ms", F.col("new_rank").alias("rank"))

@@ -114,3 +114,15 @@ def object_counts(spark, sf_dir):
 def text_coverage(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter("text <> ''").select(F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("text")).alias("text"))
     return evaluation.coverage(rows).select(F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH {_TASKS} SELECT task_id, 'prediction' AS missing FROM labels WHERE task_id NOT IN (SELECT task_id FROM tasks) UNION ALL SELECT DISTINCT task_id, 'label' FROM tasks WHERE task_id NOT IN (SELECT task_id FROM labels)")
+def missing_tasks(spark, sf_dir):
+    return evaluation.unlabelled(_predictions(spark, sf_dir), _labels(spark, sf_dir))
+
+
+@query(f"WITH {_TASKS} SELECT o_orderkey AS task_id, coalesce(v, '') AS videos FROM orders LEFT JOIN (SELECT task_id, string_agg(video_id::VARCHAR, '|' ORDER BY rank) AS v FROM tasks WHERE task_id % 4 <> 0 GROUP BY ALL) t ON t.task_id = o_orderkey")
+def submitted_videos(spark, sf_dir):
+    predictions = _predictions(spark, sf_dir).filter("task_id % 4 <> 0").withColumn("video_id", F.col("video_id").cast("string"))
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"))
+    return evaluation.submitted_videos(tasks, predictions).select("task_id", F.array_join("videos", "|").alias("videos"))

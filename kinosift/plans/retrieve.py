@@ -22,14 +22,14 @@ def _in_sequence(fused: DataFrame, frames: DataFrame, config: RetrievalConfig, s
     scored = task_scores(fused, frames)
     found = sequence.chains(scored, scenes, config.max_gap_ms, config.discount, config.chain_mode, config.clip_to_zero)
     spans = found.withColumns({"start_ms": F.element_at("path", 1), "end_ms": F.element_at("path", -1)})
-    kept = suppression.per_video(spans, config.max_per_video).join(found.select("task_idx", "video_id", "ts_ms", "path"), ["task_idx", "video_id", "ts_ms"])
+    kept = suppression.per_video(spans, config.max_per_video)
     best = sequence.with_best_moment(kept.drop("start_ms", "end_ms"), scored)
     target = None
     if tasks is not None:
         best = best.join(F.broadcast(tasks.select("task_idx", F.col("target_scene").cast("int").alias("target_scene"))), "task_idx", "left")
         target = F.col("target_scene")
-    moments = best.withColumn("moment_ms", sequence.chosen_moment(config.position, target))
-    moments = sequence.snapped(moments.select("task_idx", "video_id", "ts_ms", "score", "start_ms", "end_ms", "moment_ms"), frames)
+    moments = best.withColumns({"moment_ms": sequence.chosen_moment(config.position, target), "edge": sequence.chosen_edge(config.position, target)})
+    moments = sequence.snapped(moments.select("task_idx", "video_id", "ts_ms", "score", "start_ms", "end_ms", "moment_ms", "edge"), frames)
     moments = moments.withColumn("key", F.concat_ws("-", "task_idx", "video_id", "ts_ms"))
     moved = sequence.slid(moments.drop("ts_ms"), frames, config.slide_threshold)
     return moved.select("task_idx", "video_id", F.col("slid_ms").alias("frame_ms"), F.col("score").alias("sim"), "start_ms", "end_ms")
@@ -49,8 +49,8 @@ def retrieve(frames: DataFrame, queries: DataFrame, config: RetrievalConfig, seq
     scene go by the mean.
     """
     seen = smoothed(frames, config.smoothing_window, config.smoothing_sigma)
-    sims = scoring.similarity_blocks(queries, seen)
     if sequential:
+        sims = scoring.similarity_blocks(queries, seen)
         held = sims.join(F.broadcast(queries.select("query_id", "task_idx", "sent_idx", "seg_idx")), "query_id")
         fused = scoring.scene_scores(held, config.fusion_mode, config.main_weight)
         counts = queries.groupBy("task_idx").agg(F.countDistinct("sent_idx").alias("n"))
@@ -64,11 +64,13 @@ def retrieve(frames: DataFrame, queries: DataFrame, config: RetrievalConfig, seq
             chained = _in_sequence(fused.join(single, "task_idx", "left_anti"), frames, config, most, tasks)
             candidates = chained.unionByName(_by_mean(fused.join(single, "task_idx", "left_semi"), frames))
     else:
-        top = scoring.top_frames(sims, config.candidate_frames)
+        top = scoring.top_similar(queries, seen, config.candidate_frames)
         candidates = _by_mean(scoring.scene_scores(scoring.densified(top, queries, frames), config.fusion_mode, config.main_weight), frames)
     if tasks is None:
-        predictions = suppression.formatted(candidates, config.top_videos)
+        predictions, most = suppression.formatted(candidates, config.top_videos), config.top_videos
     else:
+        most = tasks.agg(F.max("max_predictions")).first()[0]
+        most = max(most or 0, config.top_videos)
         limits = F.broadcast(tasks.select("task_idx", F.col("max_predictions").alias("_limit")))
         predictions = suppression.formatted(candidates, None).join(limits, "task_idx", "left").filter(F.col("rank") <= F.coalesce("_limit", F.lit(config.top_videos))).drop("_limit")
-    return suppression.exclusion(predictions, config.overlap_ms)
+    return suppression.exclusion(predictions, config.overlap_ms, most=most)

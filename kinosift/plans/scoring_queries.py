@@ -34,19 +34,23 @@ def similarity_dot(spark, sf_dir):
     return scoring.similarity(asked, both).withColumn("sim", F.round("sim", 6))
 
 
+@query(f"WITH {SQL_FRAMES}, {sql_queries()} SELECT q.query_id, f.frame_id, round(0.8 * (list_dot_product(q.vec, f.emb) + list_dot_product(q.vec, list_reverse(f.emb))) / 2, 6) AS sim FROM queries q, frames f")
+def similarity_stacked(spark, sf_dir):
+    """The same by block products over the models' vectors end to end."""
+    q, f = queries(spark, sf_dir), frames(spark, sf_dir)
+    both = f.withColumn("model", F.lit("a")).unionByName(f.withColumn("model", F.lit("b")).withColumn("emb", F.reverse("emb")))
+    asked = q.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    stacked = scoring.stacked(asked, "query_id", "vec"), scoring.stacked(both, "frame_id", "emb")
+    return scoring.similarity_blocks(*stacked, scale=scoring.SCALE / 2).withColumn("sim", F.round("sim", 6))
+
+
 @query(_BASE + " SELECT query_id, frame_id, round(sim, 6) AS sim FROM sims")
 def similarity_blocks(spark, sf_dir):
     return scoring.similarity_blocks(queries(spark, sf_dir), frames(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {SQL_FRAMES}, {sql_queries()} SELECT q.query_id, f.frame_id, round(list_dot_product(q.vec, f.emb) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(f.emb, f.emb)) + 1e-6), 6) AS cos FROM queries q, frames f WHERE f.frame_id < 100")
-def cosine(spark, sf_dir):
-    some = frames(spark, sf_dir).filter("frame_id < 100")
-    return queries(spark, sf_dir).crossJoin(some).select("query_id", "frame_id", F.round(vectors.cosine(F.col("vec"), F.col("emb")), 6).alias("cos"))
-
-
 @query(f"WITH {SQL_FRAMES}, {sql_queries()} SELECT q.query_id, f.frame_id, round(list_dot_product(q.vec, f.emb) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(f.emb, f.emb)) + 1e-6), 6) AS cos FROM queries q, frames f")
-def cosine_all_frames(spark, sf_dir):
+def cosine(spark, sf_dir):
     """The stated queries, broadcast, against every frame."""
     pairs = frames(spark, sf_dir).crossJoin(F.broadcast(queries(spark, sf_dir)))
     return pairs.select("query_id", "frame_id", F.round(vectors.cosine(F.col("vec"), F.col("emb")), 6).alias("cos"))
@@ -61,7 +65,7 @@ def l2_normalize(spark, sf_dir):
 
 @query(_BASE + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, frame_id) AS rank FROM sims) SELECT query_id, frame_id, rank::INT AS rank, round(sim, 6) AS sim FROM r WHERE rank <= 50")
 def topk_frames(spark, sf_dir):
-    return scoring.top_frames(scoring.similarity_blocks(queries(spark, sf_dir), frames(spark, sf_dir)), 50).withColumn("sim", F.round("sim", 6))
+    return scoring.top_similar(queries(spark, sf_dir), frames(spark, sf_dir), 50).withColumn("sim", F.round("sim", 6))
 
 
 def _fused(mode):
@@ -89,7 +93,7 @@ _DENSE = ", dense AS (SELECT q.task_idx, q.sent_idx, q.seg_idx, q.query_id, f.fr
 @query(_BASE + _TOP + _DENSE + " SELECT query_id, frame_id, round(sim, 6) AS sim FROM dense")
 def sparse_densify(spark, sf_dir):
     q, f = queries(spark, sf_dir), frames(spark, sf_dir)
-    dense = scoring.densified(scoring.top_frames(scoring.similarity_blocks(q, f), 40), q, f)
+    dense = scoring.densified(scoring.top_similar(q, f, 40), q, f)
     return dense.select("query_id", "frame_id", F.round("sim", 6).alias("sim"))
 
 

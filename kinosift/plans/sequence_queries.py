@@ -97,7 +97,7 @@ def slide_refine(spark, sf_dir):
     f = frames(spark, sf_dir)
     even = f.filter("frame_id % 2 = 0").select(F.col("frame_id").alias("key"), "video_id", F.col("ts_ms").alias("frame_ms"), F.col("ts_ms").alias("start_ms"), F.least(F.col("ts_ms") + 6000, F.lit(24000)).alias("end_ms"))
     odd = f.filter("frame_id % 2 = 1").select(F.col("frame_id").alias("key"), "video_id", F.col("ts_ms").alias("frame_ms"), F.greatest(F.col("ts_ms") - 6000, F.lit(0)).alias("start_ms"), F.col("ts_ms").alias("end_ms"))
-    return sequence.slid(even.unionByName(odd), f, 0.1).select("key", "slid_ms")
+    return sequence.slid(even.withColumn("edge", F.lit(1)).unionByName(odd.withColumn("edge", F.lit(-1))), f, 0.1).select("key", "slid_ms")
 
 
 def _sql_greedy(name: str, source: str, group: str, order: str, fields: str, cap: int | None = None, pad: int = 0, same: str = "") -> str:
@@ -144,7 +144,7 @@ def _sql_exclusion(source: str, pad: int = PAD) -> str:
 @query(f"WITH {SQL_FRAMES}, {_PRED}, best AS (SELECT * FROM ranked WHERE rank <= 10), {_sql_exclusion('best')} SELECT task_idx, video_id, frame_ms, round(sim, 6) AS sim, rank FROM final")
 def global_exclusion(spark, sf_dir):
     best = suppression.ranked(_predictions(spark, sf_dir), 10)
-    return suppression.exclusion(best, PAD).select("task_idx", "video_id", "frame_ms", F.round("sim", 6).alias("sim"), "rank")
+    return suppression.exclusion(best, PAD, most=10).select("task_idx", "video_id", "frame_ms", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query(f"""WITH {SQL_FRAMES}, {_PRED}, best AS (SELECT * FROM ranked WHERE rank <= 12),
@@ -184,3 +184,41 @@ def retrieve_top_frames(spark, sf_dir):
     config = RetrievalConfig(smoothing_window=0, candidate_frames=100, overlap_ms=PAD)
     found = retrieve(frames(spark, sf_dir), queries(spark, sf_dir), config, sequential=False)
     return found.select("task_idx", "video_id", "frame_ms", "rank", F.round("sim", 5).alias("sim"))
+
+
+@query(f"WITH {SQL_FRAMES} SELECT frame_id AS key, ts_ms AS slid_ms FROM frames WHERE frame_id % 5 = 0")
+def slide_middle(spark, sf_dir):
+    """A middle doesn't slide, even where it is the sequence's first frame in time."""
+    f = frames(spark, sf_dir)
+    path = F.array("ts_ms", F.col("ts_ms") + 1000)
+    rows = f.filter("frame_id % 5 = 0").select(F.col("frame_id").alias("key"), "video_id", path.alias("path"), F.lit(None).cast("long").alias("best_ms"), F.col("ts_ms").alias("frame_ms"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 1000).alias("end_ms"))
+    return sequence.slid(rows.withColumn("edge", sequence.chosen_edge("middle")).drop("path", "best_ms"), f, -1.0).select("key", "slid_ms")
+
+
+@query(_EVENT_CHAIN + _BEST + """ SELECT video_id, ts_ms, 1 AS first_edge, CASE WHEN at_ms = path[1] THEN 1 WHEN list_position(path, at_ms) = 3 THEN -1 ELSE 0 END AS best_edge, 0 AS middle_edge, 0 AS median_edge, -1 AS target_edge, 0 AS negative_edge FROM best""")
+def chosen_edges(spark, sf_dir):
+    rows = _moments(spark, sf_dir)
+    modes = [sequence.chosen_edge(m).alias(f"{m}_edge") for m in ("first", "best", "middle", "median")]
+    return rows.select("video_id", "ts_ms", *modes, sequence.chosen_edge("first", F.lit(2)).alias("target_edge"), sequence.chosen_edge("first", F.lit(-2)).alias("negative_edge"))
+
+
+# Tasks of one, two and three scenes; the last scenes of shorter ones are left out.
+_MIXED_SCORED = _E2E_SCORED.replace("FROM sims s JOIN queries q USING (query_id)", "FROM sims s JOIN queries q ON q.query_id = s.query_id AND q.sent_idx <= q.task_idx % 3")
+_MIXED_TARGET = "CASE WHEN task_idx % 4 = 0 THEN 0 WHEN task_idx % 4 = 1 THEN 1 END"
+_MIXED_SQL = f"""WITH {SQL_FRAMES}, {sql_queries()}, {SQL_SIMS}, {_sql_chain(_MIXED_SCORED, 6000, 0.8, 'add', True)},
+ends AS (SELECT task_idx, video_id, ts_ms, dp AS score, path FROM d1 WHERE dp IS NOT NULL AND task_idx % 3 = 1 UNION ALL SELECT task_idx, video_id, ts_ms, dp, path FROM d2 WHERE dp IS NOT NULL AND task_idx % 3 = 2),
+spans AS (SELECT *, path[1] AS start_ms, path[-1] AS end_ms FROM ends), {_sql_greedy('nms', 'spans', 'task_idx, video_id', 'score DESC, ts_ms DESC', "'s': start_ms, 'e': end_ms, 'p': path, 'score': score", 10)},
+single AS (SELECT task_idx, video_id, ts_ms, a AS sim, row_number() OVER (PARTITION BY task_idx, video_id ORDER BY a DESC, ts_ms) AS n FROM scored WHERE task_idx % 3 = 0),
+pred AS (SELECT task_idx, video_id, CASE WHEN {_MIXED_TARGET} IS NOT NULL THEN k.p[{_MIXED_TARGET} + 1] ELSE k.p[2] END AS frame_ms, k.s AS start_ms, k.e AS end_ms, k.score AS sim FROM nms UNION ALL SELECT task_idx, video_id, ts_ms, ts_ms, ts_ms, sim FROM single WHERE n = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY task_idx ORDER BY sim DESC, video_id, frame_ms)::INT AS rank FROM pred), best AS (SELECT * FROM ranked WHERE rank <= CASE WHEN task_idx % 5 = 0 THEN 3 ELSE 10 END), {_sql_exclusion('best')}
+SELECT task_idx, video_id, frame_ms, start_ms, end_ms, rank, round(sim, 5) AS sim FROM final"""
+
+
+@query(_MIXED_SQL)
+def retrieve_mixed_scenes(spark, sf_dir):
+    """Tasks with one to three scenes, a target scene for some, and their own number of predictions for others."""
+    asked = queries(spark, sf_dir).filter(F.col("sent_idx") <= F.col("task_idx") % 3)
+    target = F.when(F.col("task_idx") % 4 == 0, 0).when(F.col("task_idx") % 4 == 1, 1)
+    tasks = asked.select("task_idx").distinct().select("task_idx", target.alias("target_scene"), F.when(F.col("task_idx") % 5 == 0, 3).alias("max_predictions"))
+    config = RetrievalConfig(smoothing_window=0, max_gap_ms=6000, discount=0.8, position="second", overlap_ms=PAD, clip_to_zero=True, slide_threshold=2.0)
+    return retrieve(frames(spark, sf_dir), asked, config, tasks=tasks).withColumn("sim", F.round("sim", 5))

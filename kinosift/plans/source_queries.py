@@ -63,12 +63,14 @@ def json_props(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("page"))
 
 
-@query(f"WITH {SQL_FRAMES} SELECT frame_id, list_dot_product(emb, list_reverse(emb)) IS NOT NULL AS aligned FROM frames")
+@query("SELECT a.o_orderkey AS frame_id, a.o_custkey AS left_row, b.n AS right_row FROM orders a JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) b ON a.o_orderkey = b.l_orderkey")
 def model_alignment(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    keys = ["video_id", "frame_no", "ts_ms"]
-    left, right = f.select(*keys, "frame_id", F.lit(1).alias("left_row")), f.select(*keys, F.lit(1).alias("right_row"))
-    return joins.aligned(left, right, keys).select("frame_id", (F.col("left_row") == F.col("right_row")).alias("aligned"))
+    """Two sides made of different tables; the left one fails the run where a side lacks a key."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    left = orders.select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("left_row"))
+    counts = lines.groupBy(F.col("l_orderkey").alias("frame_id")).agg(F.count(F.lit(1)).alias("right_row"))
+    none = orders.join(counts, orders["o_orderkey"] == counts["frame_id"], "left_anti").select(F.col("o_orderkey").alias("frame_id"), F.lit(0).cast("long").alias("right_row"))
+    return joins.aligned(left, counts.unionByName(none), ["frame_id"]).select("frame_id", "left_row", "right_row")
 
 
 _SEGMENTS = "seg AS (SELECT video_id AS video_key, frame_no AS seg_no, ts_ms / 1000.0 - 0.5 AS s, ts_ms / 1000.0 + 1.0 AS e, ' said ' || frame_id || ' ' AS text FROM frames WHERE frame_no % 4 <> 3)"
@@ -97,22 +99,65 @@ def resume_antijoin(spark, sf_dir):
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) WHERE i % 6 = 2")
 def shard_mod(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey")
-    below = rows.agg(F.min("p_partkey").alias("low"))
-    # Keys are dense, so the place in the sorted list is the distance from the least key: no global window.
-    return rows.crossJoin(F.broadcast(below)).filter(joins.shard(F.col("p_partkey") - F.col("low"), 6, 2)).select("p_partkey")
+    return joins.sharded(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 6, 2)
+
 
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders) WHERE i % 5 = 1 AND i // 5 < 700")
+def shard_sparse(spark, sf_dir):
+    """Sparse keys, and a limit inside the shard."""
+    return joins.sharded(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 5, 1, 700)
 
-@query("SELECT item_id, (item_id - (SELECT min(item_id) FROM benchmark)) // ((SELECT count(*) FROM benchmark) + 19) // 1 AS whole, ((item_id - (SELECT min(item_id) FROM benchmark)) // (((SELECT count(*) FROM benchmark) + 19) // 20))::BIGINT AS chunk FROM benchmark")
+
+@query("SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // ((count(*) OVER () + 19) // 20) AS chunk FROM benchmark")
 def task_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id")
-    ends = rows.agg(F.min("item_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    at = F.col("item_id") - F.col("low")
-    size = F.floor((F.col("n") + 19) / 20)
-    return rows.crossJoin(F.broadcast(ends)).select("item_id", F.floor(at / (F.col("n") + 19)).cast("long").alias("whole"), F.floor(at / size).cast("long").alias("chunk"))
+    return joins.chunked(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], 20)
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem")
+def row_positions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return joins.positioned(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "position")
 
 
 @query("SELECT l_orderkey::VARCHAR AS task_id, '{\"task_id\":\"' || l_orderkey || '\",\"results\":[' || string_agg('{\"rank\":' || l_linenumber || ',\"video_id\":\"v' || l_partkey || '\",\"frame_ms\":' || l_suppkey || '}', ',' ORDER BY l_linenumber, 'v' || l_partkey, l_suppkey) || ']}' AS value FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) GROUP BY l_orderkey")
 def submission_json(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("v"), "l_partkey").alias("video_id"), F.col("l_suppkey").alias("frame_ms")).distinct()
     return to_json(rows)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS caption FROM events")
+def metadata_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("video_id"), F.col("event_id").alias("ts_ms"), "event_type")
+    held = rows.filter("event_id % 3 <> 0").select("video_id", "ts_ms", F.col("event_type").alias("caption"))
+    return joins.metadata_at(rows.select("event_id", "video_id", "ts_ms"), held, ["caption"]).select("event_id", "caption")
+
+
+@query("SELECT o_orderkey AS task_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS description FROM orders JOIN customer ON c_custkey = o_custkey")
+def task_descriptions(spark, sf_dir):
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    told = customers.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("task_id"), F.col("c_name").alias("description"))
+    known = orders.join(customers.select("c_custkey"), orders["o_custkey"] == F.col("c_custkey"), "left_semi")
+    return joins.described(known.select("o_orderkey", F.col("o_custkey").alias("task_id")), told).select(F.col("o_orderkey").alias("task_id"), "description")
+
+
+@query("SELECT l_orderkey AS video_id, l_linenumber AS frame_no FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_custkey HAVING count(*) = o_custkey % 5 + 1)")
+def complete_videos(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("frame_no"))
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), (F.col("o_custkey") % 5 + 1).alias("n_frames"))
+    return joins.complete_videos(rows, expected)
+
+
+@query("SELECT o_custkey, array_to_string(list_transform(range(1, least(len(k), CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE len(k) END) + 1), lambda i: k[i] || '@' || CASE WHEN o_custkey % 2 = 0 THEN i * 40 ELSE (i - 1) * 1000 END), '|') AS frames FROM (SELECT o_custkey, list_sort(list(o_orderkey)) AS k FROM orders GROUP BY ALL)")
+def timed_frames(spark, sf_dir):
+    """Three times in the log of every other video, none in the rest."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("images"))
+    log = F.when(F.col("o_custkey") % 2 == 0, "pts_time:0.04 pts_time:0.08 x pts_time:0.12").otherwise("no frames")
+    pairs = F.transform(files.timed_frames(F.col("images"), log), lambda p: F.concat_ws("@", p["image"], p["ts_ms"]))
+    return rows.select("o_custkey", joined(pairs).alias("frames"))
+
+
+@query("SELECT page_id, page_id % 4 < 2 AS whole FROM pages")
+def whole_images(spark, sf_dir):
+    kind = F.col("page_id") % 4
+    content = F.when(kind == 0, F.unhex(F.lit("FFD8FFE000104A46494600FFD9"))).when(kind == 1, F.unhex(F.lit("89504E470D0A1A0A0000000049454E44AE426082"))).when(kind == 2, F.unhex(F.lit("FFD8FFE000104A464946")))
+    return table(spark, sf_dir, "pages").select("page_id", files.whole_image(content).alias("whole"))

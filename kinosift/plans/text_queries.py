@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from kinosift.functions import text
-from kinosift.operators import encoders
+from kinosift.operators import encoders, language_models
 from kinosift.operators.joins import split_by_cache
+from kinosift.plans.index import indexed, spoken
 from kinosift.sources.sinks import segment_report as report
 from kinosift.sources.standard import descriptions, joined, table
 
@@ -108,3 +112,50 @@ def metadata_lowered(spark, sf_dir):
 def encode_texts(spark, sf_dir):
     """Vectors of the built-in encoder."""
     return descriptions(spark, sf_dir).select("id", encoders.model("text", "hashed")("text").alias("vec"))
+
+
+@query(f"WITH {_TEXTS} SELECT id, text AS sat, text AS scenegraph, text AS spacy FROM texts")
+def absent_segmenters(spark, sf_dir):
+    """Segmenters whose models aren't there give the text back."""
+    columns = [joined(text.segmenters(name, "none")[0](F.col("text"))).alias(name) for name in ("sat", "scenegraph", "spacy")]
+    return descriptions(spark, sf_dir).select("id", *columns)
+
+
+@query("SELECT page_id, regexp_extract('/k/' || CASE WHEN page_id % 2 = 0 THEN 'v3c1_' || lpad(page_id::VARCHAR, 5, '0') ELSE 'other' END || '/rank_' || page_id || '.jpg', '(v3c[0-9]+_[0-9]+)', 1) AS video, CASE WHEN page_id % 3 = 0 THEN 999 ELSE page_id END AS rank FROM pages")
+def frame_file_names(spark, sf_dir):
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("v3c1_"), F.lpad(F.col("page_id").cast("string"), 5, "0"))).otherwise("other")
+    ranked = F.concat(F.lit("/k/rank_"), "page_id", F.lit(".jpg"))
+    path = F.concat(F.lit("/k/"), name, F.lit("/rank_"), "page_id", F.lit(".jpg"))
+    rank = text.ranked_name(F.when(F.col("page_id") % 3 == 0, "plain.jpg").otherwise(ranked)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", text.shot_name(path).alias("video"), rank.alias("rank"))
+
+
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')"
+
+
+@query(f"""SELECT item_id, array_to_string({_LINES}, chr(10)) AS ocr, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), '|') AS objects, trim(string_split(text, chr(10))[1]) AS caption FROM benchmark""")
+def index_parts(spark, sf_dir):
+    """What the stand-in models read in passages taken as images, by the plan that builds an index."""
+    rows = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).cast("string").alias("video_id"), (F.col("item_id") % 4).cast("int").alias("frame_no"), "item_id", F.col("text").alias("image"))
+    whole, _ = indexed(rows.select("video_id", "frame_no", F.col("item_id").alias("ts_ms"), "image"))
+    return whole.select(F.col("ts_ms").alias("item_id"), "ocr", joined("objects").alias("objects"), "caption")
+
+
+@query(f"""WITH x AS (SELECT item_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM benchmark), w AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) * 0.5 AS s FROM x)
+SELECT item_id, (i - 1)::INT AS seg_no, round(sum(s) OVER (PARTITION BY item_id ORDER BY i) - s, 3)::DOUBLE AS start, round(sum(s) OVER (PARTITION BY item_id ORDER BY i), 3)::DOUBLE AS "end", trim(line) AS text FROM w""")
+def speech_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("video_id"), F.col("text").alias("sound"))
+    return spoken(rows).select(F.col("video_id").alias("item_id"), "seg_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+
+
+@query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '[.] '), lambda x: trim(x) <> ''), '|') AS scenes FROM benchmark")
+def model_segments(spark, sf_dir):
+    """A stand-in for a language model that cuts at full stops, asked through the cache."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    known = rows.filter("item_id % 2 = 0").select(F.sha2("text", 256).alias("text_hash"), F.expr("transform(filter(split(text, '[.] '), x -> trim(x) <> ''), x -> x)").alias("segments")).dropDuplicates(["text_hash"])
+    found, _ = language_models.segmented(rows, known, _stand_in, prompt="{text}")
+    return found.select("item_id", joined("segments").alias("scenes"))
+
+
+def _stand_in():
+    return lambda prompts, temperature: [json.dumps([x for x in re.split("[.] ", p) if x.strip()]) for p in prompts]

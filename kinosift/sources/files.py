@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ LABELS = "task_id string, description string, answer_video_id string, answer_sta
 METADATA = "video_id string, ts_ms int, shard_index int, ocr string, objects array<string>, caption string"
 SUBMISSION = "predictions array<struct<task_id:string,results:array<struct<rank:int,video_id:string,frame_ms:long>>>>"
 TRANSCRIPTS = "map<string,array<struct<start:double,end:double,text:string>>>"
+INDEX = "video_id string, frame_no int, ts_ms int, emb array<float>"
+# Fixed value: the mark of a frame's time in a decoder's log.
+TIME_MARK = r"pts_time:([0-9.]+)"
 
 
 def video_id(path: Column) -> Column:
@@ -73,7 +79,7 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_times(log: Column) -> Column:
     """Milliseconds, half to even, of all pts_time marks in a decoder's log."""
-    return F.transform(F.regexp_extract_all(log, F.lit(r"pts_time:([0-9.]+)"), F.lit(1)), lambda x: F.bround(x.cast("decimal(20,6)") * 1000, 0).cast("int"))
+    return F.transform(F.regexp_extract_all(log, F.lit(TIME_MARK), F.lit(1)), lambda x: F.bround(x.cast("decimal(20,6)") * 1000, 0).cast("int"))
 
 
 def paired_frames(images: Column, times: Column) -> Column:
@@ -82,6 +88,56 @@ def paired_frames(images: Column, times: Column) -> Column:
     return F.arrays_zip(F.slice(F.array_sort(images), 1, n).alias("image"), F.slice(times, 1, n).alias("ts_ms"))
 
 
-def latest_run(names: list[str]) -> str | None:
-    """The run folder of the highest number."""
-    return max((n for n in names if re.fullmatch(r"\d+", n)), key=int, default=None)
+def timed_frames(images: Column, log: Column) -> Column:
+    """Sorted images with the times of a decoder's log; a log without times counts one second a frame."""
+    times = frame_times(log)
+    seconds = F.transform(F.sequence(F.lit(0), F.size(images)), lambda i: (i * 1000).cast("int"))
+    return paired_frames(images, F.when(F.size(times) > 0, times).otherwise(seconds))
+
+
+def whole_image(content: Column) -> Column:
+    """Whether bytes begin and end as a JPEG or PNG file does; what doesn't is left out of an index."""
+    head, tail = F.hex(F.substring(content, 1, 8)), F.hex(F.substring(content, -8, 8))
+    return F.coalesce((head.startswith("FFD8FF") & tail.endswith("FFD9")) | ((head == "89504E470D0A1A0A") & tail.startswith("49454E44")), F.lit(False))
+
+
+def keyframe_folders(spark: SparkSession, root: str, marker: str = "ts_ms.npy") -> DataFrame:
+    """video_id and path of the folders below a root that hold a marker file; the marker itself isn't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", marker).option("recursiveFileLookup", "true").load(root)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    return found.select(F.regexp_extract(folder, r"([^/]+)$", 1).alias("video_id"), folder.alias("path"))
+
+
+def index_shards(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, frame_no, ts_ms, emb from a folder of array archives, one for each video and named by it, with arrays emb and ts_ms."""
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select(F.regexp_extract("path", r"([^/]+)\.npz$", 1).alias("video_id"), "content")
+
+    def run(batches):
+        for batch in batches:
+            for video, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with np.load(io.BytesIO(content)) as arrays:
+                    emb, times = arrays["emb"].astype(np.float32), arrays["ts_ms"].astype(np.int32)
+                n = len(emb)
+                if n:
+                    vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * emb.shape[1], emb.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array([video] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(times), vectors], names=["video_id", "frame_no", "ts_ms", "emb"])
+
+    return shards.mapInArrow(run, INDEX)
+
+
+def video_glob(path: str) -> str:
+    """The pattern of all videos below a folder of collections or of one collection's videos; a pattern stays as it is."""
+    if path.endswith("*.mp4"):
+        return path
+    return path.rstrip("/") + ("/*/*.mp4" if "videos" in path else "/*/videos/*/*.mp4")
+
+
+def latest_run(names: list[str], modified: dict[str, float] | None = None) -> str | None:
+    """The run folder of the highest number; without numbers the one that was modified last, if that is known."""
+    numbered = max((n for n in names if re.fullmatch(r"\d+", n)), key=int, default=None)
+    return numbered if numbered is not None or not modified else max((n for n in names if n in modified), key=modified.__getitem__, default=None)
+
+
+def next_run(names: list[str]) -> str:
+    """The name of the next numbered run folder."""
+    return f"{int(latest_run(names) or 0) + 1:03d}"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinosift.config import PRODUCTION, RetrievalConfig
 from kinosift.functions import text, vectors
-from kinosift.operators import encoders, evaluation, joins, scoring, sequence, suppression
+from kinosift.operators import encoders, evaluation, joins, language_models, progress, scoring, sequence, suppression
+from kinosift.plans.index import IndexModels, indexed, spoken, with_speech
 from kinosift.sources import files, sinks
 
 
@@ -108,10 +109,186 @@ def test_exclusion_pads_both_sides(spark, cap):
     assert sorted((r.task_idx, r.video_id, r["rank"]) for r in kept) == [(0, 1, 1), (1, 2, 1)]
 
 
-def test_slide_to_the_left(spark):
+def test_slides_by_the_place_in_the_sequence(spark):
     frames = spark.createDataFrame([(1, 1000, [1.0, 0.0]), (1, 2000, [1.0, 0.01])], "video_id long, ts_ms long, emb array<double>")
-    moment = spark.createDataFrame([("a", 1, 1000, 2000, 2000)], "key string, video_id long, start_ms long, end_ms long, frame_ms long")
-    assert sequence.slid(moment, frames).first()["slid_ms"] == 1000
+    moments = [("left", 1, 1000, 2000, 2000, -1), ("right", 1, 1000, 2000, 1000, 1), ("middle", 1, 1000, 2000, 1000, 0)]
+    moments = spark.createDataFrame(moments, "key string, video_id long, start_ms long, end_ms long, frame_ms long, edge int")
+    assert {r.key: r.slid_ms for r in sequence.slid(moments, frames).collect()} == {"left": 1000, "right": 2000, "middle": 1000}
+
+
+def test_positions_of_sparse_keys(spark):
+    keys = [5, 9, 100, 101, 500, 900]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert sorted((r.k, r.position) for r in joins.positioned(rows, ["k"]).collect()) == list(zip(keys, range(6)))
+    assert sorted(r.k for r in joins.sharded(rows, ["k"], 3, 1).collect()) == [9, 500]
+    assert [r.k for r in joins.sharded(rows, ["k"], 3, 1, 1).collect()] == [9]
+    assert sorted((r.k, r.chunk) for r in joins.chunked(rows, ["k"], 4).collect()) == [(k, i // 2) for i, k in enumerate(keys)]
+    assert joins.positioned(rows.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [2, 50])
+def test_positions_in_many_ranges(spark, ranges):
+    draw = random.Random(ranges)
+    rows = [(draw.choice([None, 1, 1, 1, draw.randint(0, 99)]), i) for i in range(600)]
+    found = joins.positioned(spark.createDataFrame(rows, "k long, i long"), ["k", "i"], ranges).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.i) for r in sorted(found, key=lambda r: r.position)] == want and sorted(r.position for r in found) == list(range(600))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_nearest_frames_equal_a_loop(spark, seed):
+    draw = random.Random(seed)
+    frames = [(v, n, draw.randint(0, 300)) for v in range(4) for n in range(15)]
+    points = [(k, draw.randint(0, 4), draw.randint(-20, 320)) for k in range(200)]
+    want = {}
+    for key, video, ms in points:
+        own = [(abs(t - ms), n, t) for v, n, t in frames if v == video]
+        want[key] = min(own)[1:] if own else (None, None)
+    found = joins.nearest(spark.createDataFrame(points, "key long, video_id long, ms long"), spark.createDataFrame(frames, "video_id long, frame_no int, ts_ms long"))
+    assert {r.key: (r.frame_no, r.ts_ms) for r in found.collect()} == want
+
+
+def test_top_similar_in_several_blocks(spark, monkeypatch):
+    draw = random.Random(1)
+    queries = spark.createDataFrame([(i, [draw.random(), draw.random()]) for i in range(9)], "query_id long, vec array<double>")
+    frames = spark.createDataFrame([(i, [draw.randint(0, 3) / 4, 0.5]) for i in range(300)], "frame_id long, emb array<double>").repartition(3)
+    monkeypatch.setattr(scoring, "BLOCK_VALUES", 6)
+    monkeypatch.setattr(scoring, "FRAME_ROWS", 7)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.frame_id) for r in df.collect())
+    assert rows(scoring.top_similar(queries, frames, 12)) == rows(scoring.top_frames(scoring.similarity_blocks(queries, frames), 12))
+    assert scoring.top_similar(queries.limit(0), frames, 3).count() == 0
+
+
+def test_exclusion_without_an_action(spark):
+    rows = spark.createDataFrame([(0, 1, 1, 0, 0.9, 0, 10), (1, 1, 1, 14, 0.8, 14, 20)], "task_idx int, rank int, video_id long, frame_ms long, sim double, start_ms long, end_ms long")
+    assert [r.task_idx for r in suppression.exclusion(rows, 2, 10, most=10).collect()] == [0]
+
+
+def test_too_many_predictions_for_one_fold(spark, monkeypatch):
+    monkeypatch.setattr(suppression, "FOLD_ROWS", 1)
+    rows = spark.createDataFrame([(0, 1, 1, 0, 0.9, 0, 10), (1, 1, 1, 14, 0.8, 14, 20)], "task_idx int, rank int, video_id long, frame_ms long, sim double, start_ms long, end_ms long")
+    with pytest.raises(ValueError):
+        suppression.exclusion(rows, 2)
+
+
+def test_language_model_answers():
+    assert language_models.parsed('Sure: {"scenes": [" a ", "", 3, "b"]} done') == ["a", "b"]
+    assert language_models.parsed('["x"]') == ["x"]
+    assert language_models.parsed("[]") == []
+    assert [language_models.parsed(t) for t in ("no", "{broken", '{"a": [1}', '{"scenes": 3}')] == [None] * 4
+
+
+def test_language_model_batches_are_halved():
+    sizes = []
+
+    def generate(prompts, temperature):
+        sizes.append(len(prompts))
+        if len(prompts) > 2 or "bad" in prompts:
+            raise RuntimeError("too much")
+        return [p.upper() for p in prompts]
+
+    assert language_models.answers(generate, ["a", "b", "bad", "c"], 4) == ["A", "B", "", "C"]
+    assert sizes[:2] == [4, 2] and max(sizes[2:]) <= 2
+
+
+def test_language_model_attempts():
+    tried = []
+
+    def generate(prompts, temperature):
+        tried.append(temperature)
+        return ['["ok"]' if temperature > 0.4 else "?"]
+
+    assert language_models.attempted(generate, "x") == ["ok"] and tried == [0.3, 0.5]
+    assert language_models.attempted(lambda p, t: ["?"], "x") is None
+
+
+def test_language_model_cache(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "a. b"), (2, "a. b"), (3, "known"), (4, "odd"), (5, None)], "id long, text string")
+    cache = texts.filter("id = 3").select(F.sha2("text", 256).alias("text_hash"), F.array(F.lit("from"), F.lit("cache")).alias("segments"))
+    make = lambda: lambda prompts, t: ["?" if p == "odd" else '["' + p.replace(". ", '","') + '"]' for p in prompts]
+    found, gained = language_models.segmented(texts, cache, make, prompt="{text}")
+    assert {r.id: r.segments for r in found.collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: ["from", "cache"], 4: ["odd"], 5: [None]}
+    assert [r.segments for r in gained.collect()] == [["a", "b"]]
+
+
+def test_failures_are_set_aside_and_their_videos_wait(spark, tmp_path):
+    encoders.register("ocr", "picky", lambda: lambda texts: [t.upper() if t != "bad" else 1 / 0 for t in texts])
+    rows = [("v", 0, 0, "a"), ("v", 1, 1000, "b"), ("w", 0, 0, "bad"), ("w", 1, 1000, "c")]
+    frames = spark.createDataFrame(rows, "video_id string, frame_no int, ts_ms int, image string")
+    whole, failed = indexed(frames, IndexModels(ocr="picky", image=None))
+    assert sorted((r.video_id, r.ocr) for r in whole.collect()) == [("v", "A"), ("v", "B")]
+    assert [(r.video_id, r.frame_no, r.error) for r in failed.collect()] == [("w", 0, "ocr: ZeroDivisionError: division by zero")]
+    sinks.write_failures(failed, str(tmp_path / "failed"))
+    assert spark.read.text(str(tmp_path / "failed")).first()["value"].startswith("w\tocr: ")
+    expected = spark.createDataFrame([("v", 2), ("w", 3)], "video_id string, n_frames int")
+    sinks.write_metadata(frames, expected, str(tmp_path / "meta"))
+    assert {r.video_id for r in spark.read.json(str(tmp_path / "meta")).collect()} == {"v"}
+    sinks.write_index(frames.withColumn("model", F.lit("m")), str(tmp_path / "index"), expected)
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+
+
+def test_speech_at_frames(spark):
+    index = spark.createDataFrame([("v", 0), ("v", 1500), ("w", 0)], "video_id string, ts_ms int")
+    segments = spoken(spark.createDataFrame([("v", "one two\nthree four")], "video_id string, sound string"))
+    assert sorted((r.video_id, r.ts_ms, r.speech) for r in with_speech(index, segments).collect()) == [("v", 0, "one two"), ("v", 1500, "three four"), ("w", 0, "")]
+
+
+def test_array_archives_and_folders(spark, tmp_path):
+    import numpy as np
+
+    for video, n in (("a", 2), ("b", 0), ("c", 1)):
+        np.savez(tmp_path / f"{video}.npz", emb=np.full((n, 3), 0.5, dtype=np.float16), ts_ms=np.arange(n) * 1000)
+        (tmp_path / video).mkdir()
+    (tmp_path / "c" / "ts_ms.npy").write_bytes(b"x")
+    found = sorted((r.video_id, r.frame_no, r.ts_ms, list(r.emb)) for r in files.index_shards(spark, str(tmp_path)).collect())
+    assert found == [("a", 0, 0, [0.5] * 3), ("a", 1, 1000, [0.5] * 3), ("c", 0, 0, [0.5] * 3)]
+    assert [r.video_id for r in files.keyframe_folders(spark, str(tmp_path)).collect()] == ["c"]
+
+
+def test_videos_and_lists(spark, tmp_path):
+    (tmp_path / "V3C1" / "videos" / "00001").mkdir(parents=True)
+    (tmp_path / "V3C1" / "videos" / "00001" / "00001.mp4").write_bytes(b"x")
+    assert [r.video_id for r in files.videos(spark, str(tmp_path)).collect()] == ["v3c1_00001"]
+    (tmp_path / "list.txt").write_text("/x/V3C2/7.mp4\n\n  \n/y/8.mp4\n")
+    assert sorted(r.video_id for r in files.video_list(spark, str(tmp_path / "list.txt")).collect()) == ["v3c2_7", "v3c_8"]
+
+
+def test_globs_and_runs():
+    assert [files.video_glob(p) for p in ("/d", "/d/V3C1/videos/", "/x/*.mp4")] == ["/d/*/videos/*/*.mp4", "/d/V3C1/videos/*/*.mp4", "/x/*.mp4"]
+    assert files.latest_run(["a", "b"], {"a": 2.0, "b": 1.0}) == "a" and files.latest_run(["a"]) is None
+    assert (files.next_run([]), files.next_run(["002", "x", "010"])) == ("001", "011")
+
+
+def test_a_saved_run(spark, tmp_path):
+    import json
+    import zipfile
+
+    rows = spark.createDataFrame([("t", 1, "v", 5, 0, 9, 0.5)], "task_id string, rank int, video_id string, frame_ms long, start_ms long, end_ms long, sim double")
+    for number in ("001", "002"):
+        run = sinks.save_run(rows, str(tmp_path / "runs"), {"gap": 3})
+        assert run.endswith(number)
+    plain = json.loads((tmp_path / "runs" / "002" / "submission.json").read_text())
+    assert plain == {"predictions": [{"task_id": "t", "results": [{"rank": 1, "video_id": "v", "frame_ms": 5}]}]}
+    assert json.loads((tmp_path / "runs" / "002" / "detailed_submission.json").read_text())["predictions"][0]["results"][0]["sim"] == 0.5
+    assert json.loads((tmp_path / "runs" / "002" / "config.json").read_text()) == {"gap": 3}
+    assert json.loads(zipfile.ZipFile(tmp_path / "runs" / "002" / "submission.zip").read("submission.json")) == plain
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["video_id"] == "v"
+
+
+def test_counts_on_the_side(spark):
+    rows, seen = progress.counted(spark.range(10), most=F.max("id"))
+    assert len(rows.collect()) == 10 and seen.get == {"n": 10, "most": 9}
+    ticks = iter([0.0, 2.0, 4.0])
+    meter = progress.Progress(10, lambda: next(ticks))
+    assert meter.add(4) == {"done": 4, "rate": 2.0, "left_s": 3.0}
+    assert meter.add(4) == {"done": 8, "rate": 2.0, "left_s": 1.0}
+
+
+def test_language_models_have_no_stand_in():
+    with pytest.raises(ValueError):
+        text.segmenters("qwen", "none")
+    assert text.segmenters("SAT", "spacy") == (text.whole_text, text.whole_text)
 
 
 def test_smoothing_windows(spark):
@@ -132,8 +309,8 @@ def test_block_similarity_in_several_blocks(spark, monkeypatch):
 
 def test_frames_that_do_not_align(spark):
     left, right = (spark.createDataFrame([(k, 1)], f"id long, {side}_row int") for k, side in ((1, "left"), (2, "right")))
-    with pytest.raises(ValueError):
-        joins.aligned(left, right, ["id"])
+    with pytest.raises(Exception, match="don't align"):
+        joins.aligned(left, right, ["id"]).collect()
 
 
 def test_first_matching_segment_counts(spark):

@@ -37,6 +37,6 @@ def test_encoder_has_unit_vectors(spark):
 
 
 def test_cosine_reaches_every_frame(spark):
-    found = registry.QUERIES["cosine_all_frames"](spark, SF)
+    found = registry.QUERIES["cosine"](spark, SF)
     every = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert found.select("frame_id").distinct().count() == every and found.count() == every * found.select("query_id").distinct().count()
