@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 MINIMA = 6
 #: Documents of few shingles get sketches of two minima as well, as six of few are drawn too rarely from the shared ones.
-SHORT, SHORT_SKETCHES, SHORT_MINIMA = 60, 16, 2
+SHORT, SHORT_SKETCHES, SHORT_MINIMA = 90, 16, 2
 #: Ratio of the classes of length that the rarest shingles are looked up by.
 STEP = 1.03
 _WORDS = re.compile(r"\w+")
@@ -175,7 +175,7 @@ def _links(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """A written table of the pairs (a, b) that are links; words: rid, words."""
     left = words.select(F.col("rid").alias("a"), F.col("words").alias("left"))
     right = words.select(F.col("rid").alias("b"), F.col("words").alias("right"))
-    texts = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    texts = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
 
     def run(batches):
         for batch in batches:
@@ -200,15 +200,16 @@ def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     columns are ignored.
     """
     table = sketched(docs, row)
+    # Joins that move sketches or words are shuffled at every size, so that a small run shows what a large one does.
     # The node of exact copies; written, so that a digest with many rows can be split when it is joined back.
     nodes = written(table.groupBy("digest").agg(F.min("rid").alias("node")), "nodes")
-    members = written(table.select("rid", "doc_id", "digest").join(nodes, "digest").select("rid", "doc_id", "node"), "members")
-    marks = table.select("rid", "size", "sketch").join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
+    members = written(table.select("rid", "doc_id", "digest").join(nodes.hint("merge"), "digest").select("rid", "doc_id", "node"), "members")
+    marks = table.select("rid", "size", "sketch").join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi")
     marks = marks.select(F.col("rid").alias("node"), "size", F.posexplode("sketch").alias("at", "mark")).select("node", "size", F.xxhash64("at", "mark").alias("bucket"))
     rows = _different(marks)
     discard(nodes)
     # Words move once, for candidates only.
-    words = written(table.select("rid", "words").join(rows.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi"), "words")
+    words = written(table.select("rid", "words").join(rows.select(F.col("node").alias("rid")).distinct().hint("merge"), "rid", "left_semi"), "words")
     links = _links(_led(rows), words)
     first = written(components(links), "first-components")
     more = _links(_split(rows, first, words), words)
@@ -262,7 +263,7 @@ def _split(rows: DataFrame, comps: DataFrame, words: DataFrame) -> DataFrame:
             if sum(sizes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "size", "shingle"])
 
-    held = words.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "words")
+    held = words.join(nodes.select(F.col("node").alias("rid")).hint("merge"), "rid", "left_semi").select("rid", "words")
     shingles = written(held.mapInArrow(run, "node long, size int, shingle long"), "shingles")
     counts = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
     order = Window.partitionBy("node").orderBy("n", "shingle")
