@@ -26,8 +26,21 @@ def register(kind: str, name: str, factory: Callable[[], Any]) -> None:
     _FACTORIES[kind, name] = factory
 
 
-def model(kind: str, name: str):
-    """An Arrow function that applies the model in batches; an error for a name that isn't registered."""
+def _batched(batches: Iterator[pd.Series], size: int | None, call: Callable[[list], list]) -> Iterator[pd.Series]:
+    """Answers in batches of one size whatever comes in, across videos and Arrow batches; the rest at the end."""
+    held: list = []
+    for batch in batches:
+        held += batch.tolist()
+        step = size or max(1, len(held))
+        while len(held) >= step:
+            yield pd.Series(call(held[:step]))
+            held = held[step:]
+    if held:
+        yield pd.Series(call(held))
+
+
+def model(kind: str, name: str, size: int | None = None):
+    """An Arrow function that applies the model in batches, of a given size if it needs one; an error for a name that isn't registered."""
     if (kind, name) not in _FACTORIES:
         raise ValueError(f"unknown {kind} model: {name}")
     factory, key = _FACTORIES[kind, name], (kind, name)
@@ -35,8 +48,7 @@ def model(kind: str, name: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if key not in _MODELS:
             _MODELS[key] = factory()
-        for batch in batches:
-            yield pd.Series(_MODELS[key](batch.tolist()), index=batch.index)
+        yield from _batched(batches, size, _MODELS[key])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, KINDS[kind])

@@ -23,7 +23,8 @@ def _in_sequence(fused: DataFrame, frames: DataFrame, config: RetrievalConfig, s
     found = sequence.chains(scored, scenes, config.max_gap_ms, config.discount, config.chain_mode, config.clip_to_zero)
     spans = found.withColumns({"start_ms": F.element_at("path", 1), "end_ms": F.element_at("path", -1)})
     kept = suppression.per_video(spans, config.max_per_video)
-    best = sequence.with_best_moment(kept.drop("start_ms", "end_ms"), scored)
+    # Only the best moment needs the scores once more.
+    best = sequence.with_best_moment(kept.drop("start_ms", "end_ms"), scored) if config.position == "best" else kept
     target = None
     if tasks is not None:
         best = best.join(F.broadcast(tasks.select("task_idx", F.col("target_scene").cast("int").alias("target_scene"))), "task_idx", "left")

@@ -9,6 +9,7 @@ from kinosift.config import PRODUCTION, RetrievalConfig
 from kinosift.functions import text, vectors
 from kinosift.operators import encoders, evaluation, joins, language_models, progress, scoring, sequence, suppression
 from kinosift.plans.index import IndexModels, indexed, spoken, with_speech
+from kinosift.plans.master import analysis, answered
 from kinosift.sources import files, sinks
 
 
@@ -227,6 +228,38 @@ def test_failures_are_set_aside_and_their_videos_wait(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
 
 
+def test_batches_of_one_size():
+    import pandas as pd
+
+    sizes = []
+    call = lambda inputs: (sizes.append(len(inputs)), [x * 2 for x in inputs])[1]
+    found = list(encoders._batched(iter([pd.Series([1, 2, 3]), pd.Series([4, 5]), pd.Series([], dtype=int), pd.Series([6, 7])]), 4, call))
+    assert [x for s in found for x in s] == [2, 4, 6, 8, 10, 12, 14] and sizes == [4, 3]
+    assert [len(s) for s in encoders._batched(iter([pd.Series([1, 2, 3]), pd.Series([4])]), None, call)] == [3, 1]
+
+
+def test_from_images_to_moments(spark):
+    lines = ["red car", "blue boat", "green tree", "old man", "white dog", "tall house"]
+    rows = [(10 * v + n, v, n, 1000 * n, lines[(n + 2 * v) % 6]) for v in range(3) for n in range(5)]
+    images = spark.createDataFrame(rows, "frame_id long, video_id long, frame_no int, ts_ms int, image string")
+    tasks = spark.createDataFrame([("t0", 0, "white dog"), ("t1", 1, "green tree. old man")], "task_id string, task_idx int, description string")
+    config = RetrievalConfig(smoothing_window=0, overlap_ms=0, position="first", max_gap_ms=5000)
+    found, failed = answered(images, tasks, config)
+    first = {r.task_id: r for r in found.filter("rank = 1").collect()}
+    told = {(r[1], r[3]): r[4] for r in rows}
+    assert told[first["t0"].video_id, first["t0"].frame_ms] == "white dog"
+    assert (told[first["t1"].video_id, first["t1"].start_ms], told[first["t1"].video_id, first["t1"].end_ms]) == ("green tree", "old man")
+    assert failed.count() == 0
+
+
+def test_reports(spark):
+    sims = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "sim double")
+    texts = spark.createDataFrame([("a",), (None,)], "text string")
+    labels = spark.createDataFrame([(1, 0, 3), (1, 1, 3), (1, 2, 4)], "video_id long, frame_no int, category int")
+    found = {name: sorted(map(tuple, rows.collect())) for name, rows in analysis(sims, texts, labels, 2).items()}
+    assert found["histogram"] == [(0, 1), (1, 2)] and found["coverage"] == [(50.0,)] and found["categories"] == [(3, 3)]
+
+
 def test_speech_at_frames(spark):
     index = spark.createDataFrame([("v", 0), ("v", 1500), ("w", 0)], "video_id string, ts_ms int")
     segments = spoken(spark.createDataFrame([("v", "one two\nthree four")], "video_id string, sound string"))
