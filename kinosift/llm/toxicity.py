@@ -1,8 +1,11 @@
 """Operator 7: toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes a sample of labelled documents that is bounded by a parameter.  The executors count, per hashed
-n-gram, the toxic and other documents that hold it (a table bounded by the buckets); the n-grams that
-separate best, scaled by their log-count ratios, feed a ridge-penalised logistic regression on the driver.
+The value of an n-gram in a text is the number of the text's distinct words that hold it, damped by their number, times the n-gram's
+log-count ratio.  All hashed n-grams are features; none are selected.  Training takes a sample of labelled documents
+that is bounded by a parameter.  The executors count, per n-gram, the toxic and other documents that hold it (a table bounded by
+the buckets) and send the sample's features; a ridge-penalised logistic regression over them is fitted on the driver.
+
+The classifier is linear and its values add up over words, so that a worker keeps one number per word it has met.
 """
 
 from __future__ import annotations
@@ -20,77 +23,123 @@ from kinosift.llm.chunks import Generations
 from kinosift.llm.runtime import id_and_text, ship, slices, written
 
 #: Labelled documents that training reads, chosen by a hash of doc_id (as expected; exact when there are fewer).
-SAMPLE = 12_000
+SAMPLE = 3_000
 BUCKETS = 1 << 18
-FEATURES = 2048
 SIZES = (3, 4, 5)
 SMOOTHING = 1.0
-RIDGE = 1.0
+RIDGE = 0.01
+#: A text's values are divided by this power of the number of its distinct words.
+DAMPING = 0.25
+STEPS = 60
 THRESHOLD = 0.7
 _WORKER: dict = {}
 
 
 def _grams(word: str) -> list[int]:
+    """Distinct hashed n-grams of a word; one of tens of MB is walked once."""
     raw = f" {word} ".encode()
     return sorted({zlib.crc32(raw[i : i + n]) % BUCKETS for n in SIZES for i in range(len(raw) - n + 1)})
 
 
-class Features:
-    """Distinct feature numbers of a text; words that a worker has met keep theirs."""
-
-    def __init__(self, number: dict[int, int] | None, limit: int = 300_000) -> None:
-        self.number = number
-        self.known: Generations[tuple] = Generations(limit)
+def words(text: str) -> set[str]:
+    return set(text.lower().split())
 
-    def of_word(self, word: str) -> tuple:
-        value = self.known.young.get(word)
-        value = self.known.find(word) if value is None else value
-        if value is None:
-            grams = _grams(word)
-            value = tuple(grams) if self.number is None else tuple(self.number[g] for g in grams if g in self.number)
-            if len(word) < 60:
-                self.known.put(word, value)
-        return value
 
-    def __call__(self, text: str) -> list[int]:
-        return sorted(set().union(*map(self.of_word, set(text.lower().split()))))
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text, and their values before the ratio."""
+    own = words(text)
+    found = np.array([g for w in own for g in _grams(w)], dtype=np.int32)
+    grams, counts = np.unique(found, return_counts=True)
+    return grams, (counts / max(1, len(own)) ** DAMPING).astype(np.float32)
 
 
 @dataclass
 class Model:
-    number: dict[int, int]  # bucket -> feature
-    weight: np.ndarray
+    weight: np.ndarray  # of each bucket, ratio included
     bias: float
 
-    def score(self, found: list[int]) -> float:
-        z = self.bias + float(self.weight[found].sum()) if found else self.bias
+
+class Scorer:
+    """A model with the words that a worker has met."""
+
+    def __init__(self, model: Model, limit: int = 400_000) -> None:
+        self.model, self.known = model, Generations(limit)
+
+    def of_word(self, word: str) -> float:
+        value = self.known.find(word)
+        if value is None:
+            value = float(self.model.weight[_grams(word)].sum())
+            if len(word) < 60:
+                self.known.put(word, value)
+        return value
+
+    def __call__(self, text: str) -> float:
+        own = words(text)
+        values = list(map(self.known.young.get, own))
+        if None in values:
+            values = [self.of_word(w) if v is None else v for w, v in zip(own, values)]
+        z = self.model.bias + sum(sorted(values)) / max(1, len(own)) ** DAMPING  # sorted: the same sum in any order of the set
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def _fit(rows: list[list[int]], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on the ratios of the features present, by accelerated gradient steps."""
-    lengths = np.array([len(r) for r in rows])
-    columns = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=int(lengths.sum()))
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    weight, bias, momentum = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1)
-    squares = np.zeros(len(ratio) + 1)
-    for step in range(1, 401):
-        z = bias + np.bincount(owner, weights=(weight * ratio)[columns], minlength=len(rows))
-        error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels
-        grad = np.append(ratio * np.bincount(columns, weights=error[owner], minlength=len(ratio)) + RIDGE * weight, error.sum()) / len(rows)
-        momentum = 0.9 * momentum + 0.1 * grad
-        squares = 0.99 * squares + 0.01 * grad**2
-        move = 0.05 * (momentum / (1 - 0.9**step)) / (np.sqrt(squares / (1 - 0.99**step)) + 1e-8) / (1 + step / 100)
-        weight -= move[:-1]
-        bias -= move[-1]
-    return weight * ratio, float(bias)
+class Loss:
+    """Mean log-loss with its ridge over sparse rows, and its gradient; the last parameter is the bias."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ratio: np.ndarray) -> None:
+        lengths = np.array([len(grams) for grams, _ in rows])
+        self.labels, self.size = labels, len(ratio)
+        self.column = np.concatenate([grams for grams, _ in rows]).astype(np.int32)
+        self.value = np.concatenate([value for _, value in rows]).astype(np.float32) * ratio[self.column].astype(np.float32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+
+    def __call__(self, at: np.ndarray) -> tuple[float, np.ndarray]:
+        weight, n = at[:-1], len(self.labels)
+        z = at[-1] + np.bincount(self.owner, weights=weight[self.column] * self.value, minlength=n)
+        error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - self.labels
+        slope = np.bincount(self.column, weights=error[self.owner] * self.value, minlength=self.size)
+        loss = float(np.mean(np.logaddexp(0, z) - self.labels * z) + RIDGE / 2 / n * (weight @ weight))
+        return loss, np.append((slope + RIDGE * weight) / n, error.mean())
+
+
+def _fitted(loss: Loss, memory: int = 8) -> np.ndarray:
+    """The least of a smooth convex loss by quasi-Newton steps with limited memory."""
+    at = np.zeros(loss.size + 1)
+    value, slope = loss(at)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        way, shares = slope.copy(), []
+        for move, change in reversed(moves):
+            shares.append((move @ way) / (change @ move))
+            way -= shares[-1] * change
+        way *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1e-12, float(np.linalg.norm(way)))
+        for (move, change), share in zip(moves, reversed(shares)):
+            way += move * (share - (change @ way) / (change @ move))
+        step, down = 1.0, slope @ way
+        while True:
+            there = at - step * way
+            next_value, next_slope = loss(there)
+            if next_value <= value - 1e-4 * step * down or step < 1e-6:
+                break
+            step /= 2
+        gain, pair = value - next_value, (there - at, next_slope - slope)
+        if pair[0] @ pair[1] > 1e-12:
+            moves = [*moves, pair][-memory:]
+        at, value, slope = there, next_value, next_slope
+        if gain < 1e-8:
+            break
+    return at
+
+
+def ratios(zero: np.ndarray, one: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Log-count ratios of n-grams that zero and one documents of either kind hold."""
+    return np.log(((one + SMOOTHING) / (n1 + 2 * SMOOTHING)) / ((zero + SMOOTHING) / (n0 + 2 * SMOOTHING)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic 0/1).
 
-    Null labels, null doc_ids and null texts teach nothing; a doc_id with several labels is toxic if one says so.
-    With labels of one kind, or none, every score is the share of toxic labels (one half if none).
+    Null labels, null doc_ids and null texts teach nothing; a doc_id with several labels is toxic if one says so; repeated documents
+    count as often as they come.  With labels of one kind, or none, every score is the share of toxic labels (one half if none).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -100,41 +149,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.filter(draw < F.lit(int((1 << 30) * min(1.0, sample / max(total, 1)))))
     # The sample of labels is bounded, so it is broadcast; the texts stay where they are.
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    texts = written(texts.select(F.col("toxic").alias("toxic"), "text"), "toxicity-sample")
+    texts = texts.select(F.col("toxic").alias("toxic"), F.col("text").cast("string").alias("text"))
 
-    def count(batches):
-        held, rows = np.zeros((2, BUCKETS), dtype=np.int64), [0, 0]
-        features = Features(None)
+    def gather(batches):
         for batch in slices(batches):
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows[label] += 1
-                held[label][features(text)] += 1
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["toxic", "grams", "counts"])
+
+    rows = written(texts.mapInArrow(gather, "toxic int, grams array<int>, counts array<float>"), "toxicity-sample")
+
+    def count(batches):
+        held, kinds = np.zeros((2, BUCKETS), dtype=np.int64), [0, 0]
+        for batch in batches:
+            for label, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                kinds[label] += 1
+                held[label][grams.values.to_numpy()] += 1
         used = np.append(np.flatnonzero(held.sum(axis=0)), -1)
-        zero, one = np.append(held[0][used[:-1]], rows[0]), np.append(held[1][used[:-1]], rows[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(zero, pa.int64()), pa.array(one, pa.int64())], names=["bucket", "zero", "one"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(np.append(held[k][used[:-1]], kinds[k])) for k in (0, 1)]], names=["bucket", "zero", "one"])
 
-    found = texts.mapInArrow(count, "bucket long, zero long, one long").groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toPandas()
+    found = rows.select("toxic", "grams").mapInArrow(count, "bucket long, zero long, one long").groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toPandas()
     sizes = found[found["bucket"] == -1]
     n0, n1 = int(sizes["zero"].sum()), int(sizes["one"].sum())
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
-        return Model({}, np.zeros(0), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    found = found[found["bucket"] >= 0].sort_values("bucket")
-    p0, p1 = (found["zero"].to_numpy() + SMOOTHING) / (n0 + 2 * SMOOTHING), (found["one"].to_numpy() + SMOOTHING) / (n1 + 2 * SMOOTHING)
-    pooled = (found["zero"].to_numpy() + found["one"].to_numpy() + SMOOTHING) / (n0 + n1 + 2 * SMOOTHING)
-    strength = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
-    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    ratio = np.log(p1 / p0)[best]
-    number = {int(b): i for i, b in enumerate(found["bucket"].to_numpy()[best])}
-
-    def gather(batches):
-        features = Features(number)
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "features"])
-
-    rows = texts.mapInArrow(gather, "toxic int, features array<int>").collect()
-    weight, bias = _fit([r["features"] for r in rows], np.array([r["toxic"] for r in rows], dtype=float), ratio)
-    return Model(number, weight, bias)
+        return Model(np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    found = found[found["bucket"] >= 0]
+    zero, one = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    zero[found["bucket"]], one[found["bucket"]] = found["zero"], found["one"]
+    ratio = ratios(zero, one, n0, n1)
+    held = rows.toArrow()
+    grams, counts = ([x.values.to_numpy() for x in held.column(c)] for c in ("grams", "counts"))
+    at = _fitted(Loss(list(zip(grams, counts)), held.column("toxic").to_numpy().astype(float), ratio))
+    return Model(at[:-1] * ratio, float(at[-1]))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -145,14 +191,14 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     """
     spark = docs.sparkSession
     ship(spark)
-    shared, run_id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared, run_id = spark.sparkContext.broadcast(Model(model.weight.astype(np.float32), model.bias)), uuid.uuid4().hex
 
     def run(batches):
         if _WORKER.get("id") != run_id:
-            _WORKER.update(id=run_id, features=Features(shared.value.number))
-        features, own = _WORKER["features"], shared.value
+            _WORKER.update(id=run_id, score=Scorer(shared.value))
+        score = _WORKER["score"]
         for batch in slices(batches):
-            scores = [own.score(features(t)) for t in batch.column(1).to_pylist()]
+            scores = [score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
