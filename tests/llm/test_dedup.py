@@ -34,6 +34,8 @@ def test_exact_groups(spark, table, largest):
 
 def test_exact_groups_of_nothing_and_of_repeats(spark, table):
     assert content_sort.duplicates(table([])).count() == 0
+    hot = content_sort.duplicates(table([(None, "hot")] * 500 + [(9, "HOT")] * 500 + [(10, None)] * 3)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in hot} == {(None, 9, 1000, False), (9, 9, 1000, True), (10, 10, 3, True)} and len(hot) == 1003
     found = content_sort.duplicates(table([(4, "a"), (4, "A")])).collect()
     assert [(r.keep_id, r.group_size, r.kept) for r in found] == [(4, 2, True)] * 2
 
@@ -122,6 +124,66 @@ def test_open_buckets_are_split(spark, table):
     assert sorted((r.doc_id, r.class_id) for r in found) == sorted((d, classes(rows)[i][0]) for i, (d, _) in enumerate(rows))
 
 
+def test_copies_of_copies_and_their_strangers(spark, table):
+    """One text with edits of all sizes, so that buckets hold links to the leader, links among the rest, and none."""
+    draw = random.Random(11)
+    base = [f"w{draw.randint(0, 3000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for _ in range(draw.choice([0, 1, 2, 3, 4, 6, 9])):
+            own[draw.randrange(len(own))] = draw.choice([f"n{draw.randint(0, 9999)}", "the"])
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, " ".join([*r[1].split()[:60], *[f"k{i}x{j}" for j in range(20)]])) for i, r in enumerate(rows[:30])]
+    found = order_minhash.near_duplicates(table(rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == sorted((d, classes(rows)[i][0]) for i, (d, _) in enumerate(rows))
+
+
+def test_links_at_the_bound_meet_in_rare_shingles(spark):
+    """Every pair that is a link is found by the rare shingles alone, in classes of all lengths."""
+    draw = random.Random(3)
+    shingles, rows = {}, []
+    for group in range(12):
+        base = [draw.randint(0, 2**31) for _ in range(draw.choice([8, 20, 33, 60, 140]))]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(draw.randint(0, max(1, len(own) // 18))):
+                at = draw.randrange(len(own))
+                own[at : at + draw.randint(0, 1)] = [draw.randint(0, 2**31)] * draw.randint(0, 2)
+            node = len(rows)
+            rows.append((node, [x - 2**31 if x >= 2**31 else x for x in own]))
+            shingles[node] = order_minhash.labelled_shingles(np.array(own, dtype=np.uint32))
+    words = spark.createDataFrame(rows, "rid long, words array<int>")
+    buckets = spark.createDataFrame([(n, 1) for n, _ in rows], "node long, bucket long")
+    alone = spark.createDataFrame([(n, n) for n, _ in rows], "node long, comp long")
+    pairs = {(r.a, r.b) for r in order_minhash._split(buckets, alone, words).collect()}
+    links = {(a, b) for a in shingles for b in shingles if b < a and order_minhash.similarity(shingles[a], shingles[b]) >= 0.8}
+    assert links and links <= pairs
+    assert len(pairs) < len(rows) * len(rows) / 8
+
+
+def test_recall_against_all_rows(spark):
+    """Links of every row whose id is divisible by 50, against all rows of the standard documents."""
+    frame = pd.read_parquet(SF.replace("0.001", "0.01"))
+    found = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.read.parquet(SF.replace("0.001", "0.01"))).collect()}
+    shingles = {d: order_minhash.labelled_shingles(order_minhash.word_hashes(t or "")[0]) for d, t in zip(frame.doc_id.tolist(), frame.text)}
+    links = [(a, b) for a in shingles if a % 50 == 0 for b in shingles if a != b and order_minhash.similarity(shingles[a], shingles[b]) >= 0.8]
+    caught = sum(found[a] == found[b] for a, b in links)
+    assert links and caught >= 0.99 * len(links)
+
+
+def test_a_link_shares_a_sketch():
+    """The stated bound of misses, at similarity 0.8, for texts of equal length and for one that holds the other."""
+    from math import comb
+
+    for union in range(5, 1000):
+        shared = -(-4 * union // 5)
+        long = (1 - comb(shared, order_minhash.MINIMA) / comb(union, order_minhash.MINIMA)) ** order_minhash.SKETCHES if shared >= order_minhash.MINIMA else 1.0
+        for larger in (union - (union - shared) // 2, union):
+            short = (1 - comb(shared, order_minhash.SHORT_MINIMA) / comb(union, order_minhash.SHORT_MINIMA)) ** order_minhash.SHORT_SKETCHES if larger <= order_minhash.SHORT else 1.0
+            assert long * short < 1e-4, (union, larger)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a long, b long")
     found = {r.node: r.comp for r in order_minhash.components(links).collect()}
@@ -187,6 +249,47 @@ def test_passages_of_nothing_and_of_repeated_rows(spark, table):
     assert [r.n_removed for r in found] == [0, 0]
 
 
+def test_texts_under_one_id(spark, table):
+    """Different texts of one doc_id are documents in the order of a hash; repeated rows are one document; null ids come last."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(150))
+    rows = [(1, passage + "x"), (1, "y" + passage), (1, "y" + passage), (2, passage), (None, passage + "z"), (None, passage + "z")]
+    found = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.digest(suffix_dedup.without_repeats(table(rows))).collect()]
+    first = [r for r in found if r[0] == 1]
+    assert sorted(r[2] for r in first) in ([0, 150, 150], [0, 0, 150])  # one of the two texts is the earlier
+    assert [r[2] for r in found if r[0] == 2] == [150] and [r[2] for r in found if r[0] is None] == [150, 150]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_equal_stretches_equal_all_windows(spark, table, seed):
+    """Copies with edits in all places: stretches that differ, with shared windows on either side of the edit."""
+    draw = random.Random(seed)
+    base = "".join(draw.choice("abcdefghij ") for _ in range(400))
+    rows = []
+    for i in range(25):
+        own = list(base)
+        for _ in range(draw.randint(0, 4)):
+            at = draw.randrange(len(own))
+            own[at : at + draw.randint(0, 2)] = draw.choice(["", "Q", "ZZ"])
+        rows.append((i, "".join(own)))
+    found = suffix_dedup.digest(suffix_dedup.without_repeats(table(rows))).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == without_repeats(rows, 100)
+
+
+@pytest.mark.parametrize(("threshold", "gram"), [(60, 20), (150, 40)])
+def test_other_thresholds(spark, table, threshold, gram):
+    draw = random.Random(threshold)
+    passage = "".join(draw.choice("abcd ") for _ in range(300))
+    rows = [(i, passage[draw.randint(0, 99) : draw.randint(150, 300)] + str(i)) for i in range(12)]
+    found = suffix_dedup.digest(suffix_dedup.without_repeats(table(rows), threshold, gram)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == without_repeats(rows, threshold)
+
+
+def test_thresholds_that_are_too_near(spark, table):
+    with pytest.raises(ValueError):
+        suffix_dedup.without_repeats(table([]), 50, 40)
+
+
 def test_passages_of_the_standard_documents(spark):
     frame = pd.read_parquet(SF)
     found = suffix_dedup.digest(suffix_dedup.without_repeats(spark.read.parquet(SF))).collect()

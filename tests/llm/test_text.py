@@ -1,7 +1,9 @@
 """Quality, personal data, language and toxicity, and the pipeline."""
 
 import hashlib
+import math
 import random
+import time
 import re
 import zlib
 
@@ -80,6 +82,38 @@ def test_long_runs_take_no_time():
         pii.find(text)
 
 
+def test_many_spans_take_linear_time():
+    """Twice the spans take about twice the time: a quadratic search took 4 times as long, and 6.5 s for the larger text."""
+    taken = []
+    for n in (8_000, 16_000):
+        text = "ssn 123-45-6789 call +1 555 123 4567 " * n
+        began = time.process_time()
+        found = pii.find(text)
+        taken.append(time.process_time() - began)
+        assert len(found) == 2 * n
+    assert taken[1] < 3 * taken[0] + 0.5
+    assert pii.mask("a@b.cc " * 30_000).count("[EMAIL]") == 30_000
+
+
+def plain_find(text):
+    """Each extra span against all that are taken."""
+    spans = [(s.kind, s.start, s.end, pii._score(text, s)) for s in pii._base(text)]
+    for kind in pii._more(text):
+        for extra in kind:
+            score = pii._score(text, extra)
+            if score >= pii.THRESHOLD and all(extra.end <= s[1] or s[2] <= extra.start for s in spans):
+                spans.append((extra.kind, extra.start, extra.end, score))
+    return sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_overlaps_equal_a_loop():
+    draw = random.Random(8)
+    pieces = ["ssn ", "123-45-6789", " ", "call ", "(555) 123-4567", "+1 555 123 4567", "4111 1111 1111 1111", "DE89370400440532013000", "a@b.cc", "1.2.3.4", "-", ".", "x"]
+    for _ in range(400):
+        text = "".join(draw.choices(pieces, k=draw.randint(1, 12)))
+        assert pii.find(text) == plain_find(text), text
+
+
 def test_validators_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
@@ -157,6 +191,41 @@ def test_languages_and_spans(spark, table):
     assert language.detected(table([]), model).count() == 0
 
 
+def test_numbers_are_no_letters_and_long_runs_are_cut(spark, table):
+    model = language.train(labelled(spark))
+    long = "кот" * 200_000
+    rows = [(1, "½ ² Ⅷ ①"), (2, long), (3, "the dog and the cat ½"), (3, "the dog and the cat ½")]
+    found = [(r.lang_pred, r.score) for r in language.detected(table(rows), model).collect()]
+    assert found[0] == ("und", 0.0) and found[1] == ("ru", 1.0) and found[2] == found[3] and found[2][0] == "en"
+    assert max(map(len, language._WORDS.findall(long))) == language.LONGEST
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.train(labelled(spark))
+
+
+def test_language_counts_equal_a_loop(spark):
+    model = language.train(labelled(spark))
+    counts = {}
+    for row in labelled(spark).collect():
+        if row.lang and row.text:
+            for word in re.findall(r"[^\W\d_]+", row.text.lower()):
+                raw = f" {word} ".encode()
+                for n in (2, 3, 4):
+                    for i in range(len(raw) - n + 1):
+                        key = (row.lang, zlib.crc32(raw[i : i + n]) % language.BUCKETS)
+                        counts[key] = counts.get(key, 0) + 1
+    for at, lang in enumerate(model.languages):
+        total = sum(n for (x, _), n in counts.items() if x == lang)
+        want = np.full(language.BUCKETS, 0.5)
+        for (x, bucket), n in counts.items():
+            if x == lang:
+                want[bucket] += n
+        assert np.allclose(model.log_p[at], np.log(want / (total + 0.5 * language.BUCKETS)), atol=1e-5)
+
+
 def test_held_out_languages(spark):
     from kinosift.llm import queries
 
@@ -182,6 +251,62 @@ def test_held_out_toxicity(spark, table):
     assert toxicity.scored(table([(1, "a")]), none).first()["score"] == 0.5
 
 
+def plain_features(text):
+    """Distinct words of a text that hold each n-gram."""
+    words = set(text.lower().split())
+    counts = {}
+    for word in words:
+        raw = f" {word} ".encode()
+        for gram in {zlib.crc32(raw[i : i + n]) % toxicity.BUCKETS for n in toxicity.SIZES for i in range(len(raw) - n + 1)}:
+            counts[gram] = counts.get(gram, 0) + 1
+    return counts
+
+
+def test_toxicity_equals_loops(spark, table):
+    """Ratios, the fit's optimum and the scores, each by plain loops over the same rows."""
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(draw.choices(words, k=draw.randint(1, 20)) + ["bad"] * (i % 3 == 0 and draw.random() < 0.8))) for i in range(60)]
+    labels = {i: int(i % 3 == 0) for i, _ in texts}
+    model = toxicity.train(table(texts), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    rows = {i: plain_features(t) for i, t in texts}
+    kinds = [sum(1 for v in labels.values() if v == k) for k in (0, 1)]
+    held = [{}, {}]
+    for i, found in rows.items():
+        for gram in found:
+            held[labels[i]][gram] = held[labels[i]].get(gram, 0) + 1
+    ratio = {g: math.log(((held[1].get(g, 0) + 1) / (kinds[1] + 2)) / ((held[0].get(g, 0) + 1) / (kinds[0] + 2))) for g in held[0].keys() | held[1].keys()}
+    unseen = np.ones(toxicity.BUCKETS, dtype=bool)
+    unseen[list(ratio)] = False
+    assert not model.weight[unseen].any()
+    plain = lambda i: 1 / (1 + math.exp(-model.bias - sum(model.weight[g] * x for g, x in rows[i].items())))
+    errors = {i: plain(i) - labels[i] for i in rows}
+    assert abs(sum(errors.values()) / len(rows)) < 1e-3
+    for g, r in ratio.items():  # the slope of the ridge-penalised loss is nought at the optimum
+        own = model.weight[g] / r if r else 0.0
+        assert abs(sum(errors[i] * found.get(g, 0.0) * r for i, found in rows.items()) + toxicity.RIDGE * own) / len(rows) < 2e-3
+    found = {r.doc_id: r.score for r in toxicity.scored(table(texts), model).collect()}
+    assert all(found[i] == pytest.approx(plain(i), abs=1e-4) for i in rows)
+
+
+def test_toxicity_of_the_standard_documents(spark):
+    from kinosift.llm import queries
+
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").dropna(subset=["toxic"]).set_index("doc_id")
+    found = queries.op7_toxicity(spark, "/root/testdata/sf0.1").toPandas().set_index("doc_id")
+    out = found[found.held_out & found.index.isin(labels.index)]
+    truth = labels.loc[out.index, "toxic"]
+    assert len(out) > 500 and (out.predicted.to_numpy() == truth.to_numpy()).mean() > 0.95
+
+
+def test_awkward_texts_have_scores(spark, table):
+    rows = [*AWKWARD, (20, "bad" * 300_000), (21, "bad word " * 50_000), (22, "WORD1 word1"), (22, "WORD1 word1")]
+    model = toxicity.train(table([(i, "word1 word2" if i % 2 else "bad") for i in range(20)]), spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, toxic int"))
+    found = toxicity.scored(table(rows), model).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found) and found[-1].score == found[-2].score
+    assert {r.doc_id: r.predicted for r in found}[21] == 1
+
+
 def test_pipeline_equals_its_parts(spark):
     import corpus_pipeline
     import public_tokenizers
@@ -225,6 +350,31 @@ def test_stages_return_documents(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_stages_take_awkward_rows(spark, table, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names, through every stage and through the run."""
+    import corpus_pipeline
+
+    draw = random.Random(2)
+    good = lambda: " ".join(draw.choice(["the", "cat", "and", "a", "house", "of", f"w{draw.randint(0, 999)}"]) for _ in range(80))
+    long, twice = " ".join(f"the w{i}" for i in range(30_000)), good()
+    near = twice.split()
+    near[40] = "changed"
+    rows = [*AWKWARD, (30, long), (31, twice), (31, twice), (None, twice.upper()), (32, " ".join(near)), (None, good()), (33, good() + " mail me@there.org"), (33, good())]
+    docs = table(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns, name
+        assert after.count() <= len(rows), name
+    assert corpus_pipeline.pack(spark, docs, "").agg({"doc_id": "max"}).first()[0] == 33
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of the three rows with the text and its near copy one is left, of the two rows 33 both, and the long one is cut.
+    assert sorted(str(r.doc_id) for r in found if r.piece == 0) == ["30", "31", "33", "33", "None"]
+    assert sum(r.length for r in found if r.doc_id == 30) > 2048
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_nothing_else_imports_the_subpackage():
     from pathlib import Path
 
