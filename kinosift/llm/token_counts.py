@@ -2,8 +2,9 @@
 
 The cache is a table in the shared folder: content digest, tokenizer digest, count.  Documents are joined to
 it by both digests; one document of each digest that it lacks is encoded, and the new
-counts are appended before they are joined.  Texts move only for those documents, dealt by digest and
-doc_id, so that a text with a third of all rows doesn't meet in one task; everything else that moves is a digest.
+counts are appended before they are joined.  The digest is that of the normalised content: where the tokenizer drops white space
+and parts don't influence each other, runs of ASCII white space count as one space, as they can't change the count.  Texts are dealt by
+digest and doc_id, so that a text with a third of all rows doesn't meet in one task; everything else that moves is a digest.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ class Counter:
         self.by_parts = self.count(" \n ") == 0 and self.count("a b") == self.count("a") + self.count("b") and self.count(" a") == self.count("a")
         self.known: Generations[int] = Generations(limit)
 
+        # White space then changes nothing either, unless an added token has some of its own.
+        self.collapses = self.by_parts and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+
     def __call__(self, text: str) -> int:
         if not self.by_parts or _ODD(text):
             return self.count(text)
@@ -63,14 +67,18 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str) -> Data
     ship(spark)
     tokenizer, content = vocabulary(vocabulary_path)
     shared = spark.sparkContext.broadcast(content)
-    texts = id_and_text(docs).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
-    keys = written(texts.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
-    stored = lambda: spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == tokenizer)
-    one_each = keys.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id"))
+    normal = F.col("text")
+    if Counter(content).collapses:
+        tokenizer += "+spaces"  # counts of texts normalised so
+        normal = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    texts = id_and_text(docs).withColumns({"content_digest": F.unhex(F.sha2(normal, 256)), "_doc": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    keys = written(texts.select("doc_id", "_doc", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
+    spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
+    stored = lambda: spark.read.schema(CACHE).parquet(cache_path).filter(F.col("tokenizer_digest") == tokenizer).select("content_digest", "n_tokens")
+    one_each = keys.groupBy("content_digest").agg(F.min("_doc").alias("_doc"))
     misses = one_each.join(stored().select("content_digest"), "content_digest", "left_anti")
-    same = (texts["content_digest"] == misses["content_digest"]) & texts["doc_id"].eqNullSafe(misses["doc_id"])
-    chosen = texts.join(misses.hint("shuffle_hash"), same, "left_semi").select("content_digest", "text")
+    # Rows equal in both are repeats; they meet in this join, and one of them is encoded.
+    chosen = texts.join(misses.hint("shuffle_hash"), ["content_digest", "_doc"], "left_semi").dropDuplicates(["content_digest", "_doc"]).select("content_digest", "text")
 
     def run(batches):
         if tokenizer not in _WORKER:
@@ -81,7 +89,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, cache_path: str) -> Data
             found = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokenizer] * len(found), pa.string()), pa.array(found, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    chosen.mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
-    # Written first, so that both sides of the join are plain exchanges and a hot digest can be split.
-    counts = written(stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    chosen.mapInArrow(run, CACHE).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
+    # Of a large cache only what these documents need is put together; written first, so that both sides of the last join are plain
+    # exchanges and a hot digest can be split.
+    needed = stored().join(one_each.select("content_digest"), "content_digest", "left_semi")
+    counts = written(needed.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
