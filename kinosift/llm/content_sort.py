@@ -98,8 +98,9 @@ def duplicates(docs: DataFrame, keep_largest: bool = False, row: str | None = No
     more = [] if row is None else ["row"]
     schema = ", ".join(["doc_id long, norm binary, head binary", *(f"{c} long" for c in more)])
     keyed = id_and_text(docs, row).mapInArrow(_normalised, schema).withColumn("_hash", F.xxhash64("norm"))
-    # Row ids spread a group of one doc_id, too.
-    ordered = keyed.repartitionByRange(parts, "head", "_hash", "doc_id", *more).sortWithinPartitions("head", "_hash", "norm", "doc_id")
+    # Row numbers spread a group of one doc_id, too.
+    keyed = keyed.withColumn("_number", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(parts, "head", "_hash", "doc_id", "_number").sortWithinPartitions("head", "_hash", "norm", "doc_id")
     runs = written(ordered.select("doc_id", "norm", "head", "_hash", *more).mapInArrow(_runs(keep_largest, row is not None), _RUNS), "content-runs")
     # At most two groups per partition are at an edge (but for equal 64-bit hashes), so this table is bounded by the partitions.
     best = F.max("keep_id") if keep_largest else F.min("keep_id")
