@@ -7,6 +7,7 @@ possessive and addresses are grown from their @ sign, so long runs of digits or
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -129,10 +130,10 @@ def _ibans(text: str):
                 break
 
 
-def _more(text: str) -> list[Span]:
-    found = list(_ibans(text))
-    found += [Span("national_id", *m.span()) for m in _NATIONAL.finditer(text)]
-    return found + [Span("local_phone", *m.span()) for m in _NEAR_PHONE.finditer(text)]
+def _more(text: str) -> list[list[Span]]:
+    """The method's own kinds, the stronger first."""
+    patterns = (("national_id", _NATIONAL), ("local_phone", _NEAR_PHONE))
+    return [list(_ibans(text)), *([Span(kind, *m.span()) for m in pattern.finditer(text)] for kind, pattern in patterns)]
 
 
 def _score(text: str, span: Span) -> float:
@@ -147,24 +148,38 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     if not _SOME(text):
         return []
     spans = [(s.kind, s.start, s.end, _score(text, s)) for s in _base(text)]
-    taken = sorted((start, end) for _, start, end, _ in spans)
-    for extra in _more(text):
-        score = _score(text, extra)
-        if score >= THRESHOLD and not any(start < extra.end and extra.start < end for start, end in taken):
-            spans.append((extra.kind, extra.start, extra.end, score))
-            taken.append((extra.start, extra.end))
+    starts, ends = _covered(spans)
+    for kind in _more(text):
+        added = []
+        for extra in kind:  # in order, none over another of its kind
+            at = bisect.bisect_left(starts, extra.end) - 1  # the last stretch taken that begins before its end
+            if (at < 0 or ends[at] <= extra.start) and (score := _score(text, extra)) >= THRESHOLD:
+                added.append((extra.kind, extra.start, extra.end, score))
+        if added:
+            spans += added
+            starts, ends = _covered(spans)
     return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
+def _covered(spans: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, apart from each other and in order."""
+    starts, ends = [], []
+    for start, end in sorted(s[1:3] for s in spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def mask(text: str) -> str:
     """The text with each span replaced by its kind in square brackets; spans that overlap become one."""
-    out, done, spans = [], 0, find(text)
-    while spans:
-        kind, start, end, _ = spans.pop(0)
-        while spans and spans[0][1] < end:
-            end = max(end, spans.pop(0)[2])
-        out += [text[done:start], f"[{kind.upper()}]"]
-        done = end
+    out, done = [], 0
+    for kind, start, end, _ in find(text):
+        if start >= done or not out:
+            out += [text[done:start], f"[{kind.upper()}]"]
+        done = max(done, end)
     return "".join([*out, text[done:]]) if out else text
 
 
