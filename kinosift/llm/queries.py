@@ -66,7 +66,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(by: int):
-    """crc32 of doc_id as text, modulo by; null for a null doc_id."""
+    """crc32 of doc_id as text, modulo by; null for a null doc_id, which teaches nothing and isn't held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
@@ -75,7 +75,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that aren't held out."""
     docs, held_out = documents(spark, sf_dir), remainder(4) == 2
     model = language.train(docs.filter(~held_out))
-    return language.detected(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language.detected(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -83,7 +83,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that aren't held out."""
     docs, held_out = documents(spark, sf_dir), remainder(3) == 1
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out))
-    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query

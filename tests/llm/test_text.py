@@ -200,6 +200,13 @@ def test_numbers_are_no_letters_and_long_runs_are_cut(spark, table):
     assert max(map(len, language._WORDS.findall(long))) == language.LONGEST
 
 
+def test_faster_words_equal_the_pattern():
+    draw = random.Random(12)
+    for _ in range(2000):
+        text = "".join(draw.choice(["ab", "é", "½", "²", "7", "_", " ", "x" * 70, "кот", "日本", "Ⅷ"]) for _ in range(draw.randint(0, 8)))
+        assert language.words_of(text) == language._WORDS.findall(text), text
+
+
 def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
     with pytest.raises(ValueError):
