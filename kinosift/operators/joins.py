@@ -31,17 +31,24 @@ def transcript_text(frames: DataFrame, segments: DataFrame, bucket_s: int = 60)
     return hit.groupBy(F.col("f.video_key").alias("video_key"), "ts_ms").agg(F.coalesce(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("")).alias("text"))
 
 
-def with_nearest(points: DataFrame, at: str, frames: DataFrame) -> DataFrame:
+def with_nearest(points: DataFrame, at: str, frames: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
     """points with near, a struct (ts_ms, frame_no): the frame of the video nearest to the time ``at``, the lower frame_no on ties.
 
-    An as-of join: points and frames are put in one order per video, and each point takes the last frame before and after it.
-    Nothing is paired, so the work is that of one sort.  near is null if the video has no frames.
+    An as-of join: points and frames are put in one order per video and bucket of time, and each point takes the last frame before and
+    the first after it; where its bucket has none, that of the nearest bucket that has some.  Nothing is paired, and a video with
+    most of the points is dealt over its buckets.  near is null if the video has no frames.
     """
     frame = F.struct(F.col("ts_ms").cast("long").alias("ts_ms"), F.col("frame_no").cast("long").alias("frame_no"))
     rows = points.withColumn("_at", F.col(at).cast("long")).unionByName(frames.select("video_id", F.col("ts_ms").cast("long").alias("_at"), frame.alias("_frame")), allowMissingColumns=True)
+    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / bucket_ms).cast("long"))
+    order = lambda sign: F.when(F.col("_frame").isNotNull(), F.struct(F.col("_frame.ts_ms"), sign * F.col("_frame.frame_no")))
+    ends = rows.groupBy("video_id", "_bucket").agg(F.min_by("_frame", order(1)).alias("_first"), F.max_by("_frame", order(-1)).alias("_last"))
+    beside = lambda column, by: F.last(column, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("video_id", "_bucket", beside("_last", F.col("_bucket")).alias("_earlier"), beside("_first", F.desc("_bucket")).alias("_later"))
     point, late = F.col("_frame").isNull(), F.desc("_frame.frame_no")
-    side = lambda *order: F.last("_frame", ignorenulls=True).over(Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"_before": side("_at", point, late), "_after": side(F.desc("_at"), point, late)}).filter(point)
+    side = lambda by: F.last("_frame", ignorenulls=True).over(Window.partitionBy("video_id", "_bucket").orderBy(by, point, late).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_before": side(F.col("_at")), "_after": side(F.desc("_at"))}).filter(point).join(ends, ["video_id", "_bucket"], "left")
+    rows = rows.withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
     gap = F.col("_at") - F.col("_before.ts_ms"), F.col("_after.ts_ms") - F.col("_at")
     first = (gap[0] < gap[1]) | ((gap[0] == gap[1]) & (F.col("_before.frame_no") <= F.col("_after.frame_no")))
     near = F.when(F.col("_after").isNull() | first, F.col("_before")).otherwise(F.col("_after"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,7 +25,7 @@ PROMPTS = {
 ATTEMPTS = (0.3, 0.5, 0.7)
 BATCH = 8
 Generate = Callable[[list[str], float], list[str]]
-_MODELS: dict[int, Generate] = {}
+_MODELS: dict[str, Generate] = {}
 
 
 def parsed(answer: str) -> list[str] | None:
@@ -72,7 +73,7 @@ def segmented(texts: DataFrame, cache: DataFrame, make: Callable[[], Generate],
     The cache holds text_hash (sha256) and segments.  Only distinct texts that it lacks are asked for; a batch answer that can't be read
     is asked for once more by itself, and what can't be read at all gives the text back and isn't kept.
     """
-    template, key = prompt or PROMPTS[mode], id(make)
+    template, key = prompt or PROMPTS[mode], uuid.uuid4().hex
 
     @F.pandas_udf("array<string>")
     def ask(column: pd.Series) -> pd.Series:

@@ -147,6 +147,9 @@ def test_nearest_frames_equal_a_loop(spark, seed):
         want[key] = min(own)[1:] if own else (None, None)
     found = joins.nearest(spark.createDataFrame(points, "key long, video_id long, ms long"), spark.createDataFrame(frames, "video_id long, frame_no int, ts_ms long"))
     assert {r.key: (r.frame_no, r.ts_ms) for r in found.collect()} == want
+    points, frames = spark.createDataFrame(points, "key long, video_id long, ms long"), spark.createDataFrame(frames, "video_id long, frame_no int, ts_ms long")
+    for width in (7, 50):  # buckets without frames between those that have some
+        assert {r.key: tuple(r.near)[::-1] if r.near else (None, None) for r in joins.with_nearest(points, "ms", frames, width).collect()} == want
 
 
 def test_top_similar_in_several_blocks(spark, monkeypatch):
@@ -337,7 +340,17 @@ def test_block_similarity_in_several_blocks(spark, monkeypatch):
     frames = spark.createDataFrame([(i, "m", [1.0, float(i)]) for i in range(7)], "frame_id long, model string, emb array<double>")
     monkeypatch.setattr(scoring, "BLOCK_VALUES", 4)
     rows = lambda df: sorted((r.query_id, r.frame_id, round(r.sim, 9)) for r in df.collect())
-    assert rows(scoring.similarity_blocks(queries, frames)) == rows(scoring.similarity(queries, frames))
+    want = sorted((q, f, round(0.8 * (q + f), 9)) for q in range(5) for f in range(7))
+    assert rows(scoring.similarity_blocks(queries, frames)) == rows(scoring.similarity(queries, frames)) == want
+
+
+def test_similarity_of_several_models(spark):
+    vectors_of = {("q", "a"): [1.0, 2.0], ("q", "b"): [0.5, 0.0, 1.0], ("f", "a"): [3.0, -1.0], ("f", "b"): [2.0, 7.0, 1.0]}
+    queries = spark.createDataFrame([(1, m, v) for (k, m), v in vectors_of.items() if k == "q"], "query_id long, model string, vec array<double>")
+    frames = spark.createDataFrame([(5, m, v) for (k, m), v in vectors_of.items() if k == "f"], "frame_id long, model string, emb array<double>")
+    assert scoring.similarity(queries, frames).first()["sim"] == pytest.approx(0.8 * (1.0 + 2.0) / 2)
+    with pytest.raises(Exception):
+        scoring.similarity(queries, frames.filter("model = 'a'")).collect()
 
 
 def test_frames_that_do_not_align(spark):
