@@ -16,10 +16,20 @@ FRAME_ROWS = 2_048
 
 
 def similarity(queries: DataFrame, frames: DataFrame) -> DataFrame:
-    """query_id, frame_id, sim: 0.8 times the mean over models of the dot products.
+    """query_id, frame_id, sim: 0.8 times the mean over models of the dot products, as expressions.
 
-    queries: query_id, model, vec; frames: frame_id, model, emb.  The mean of products is one product of the vectors end to end, so
-    frames are put together once and no pair is shuffled.  Every frame and query needs all models; a frame that lacks one fails the run.
+    queries: query_id, model, vec; frames: frame_id, model, emb.  Every pair is shuffled once for each model; similarity_models gives the same
+    but for the last digits, and shuffles no pair.
+    """
+    pairs = frames.select("model", "frame_id", "emb").join(queries.select("model", "query_id", "vec"), "model")
+    scored = pairs.select("query_id", "frame_id", vectors.dot(F.col("vec"), F.col("emb")).alias("d"))
+    return scored.groupBy("query_id", "frame_id").agg((F.lit(SCALE) * F.avg("d")).alias("sim"))
+
+
+def similarity_models(queries: DataFrame, frames: DataFrame) -> DataFrame:
+    """The same as block products: the mean of products is one product of the vectors end to end, so frames are put together once.
+
+    Every frame and query needs all models; a frame that lacks one fails the run.
     """
     models = queries.select("model").distinct().count()
     return similarity_blocks(stacked(queries, "query_id", "vec"), stacked(frames, "frame_id", "emb"), SCALE / max(1, models))

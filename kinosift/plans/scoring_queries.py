@@ -34,6 +34,15 @@ def similarity_dot(spark, sf_dir):
     return scoring.similarity(asked, both).withColumn("sim", F.round("sim", 6))
 
 
+@query(f"WITH {SQL_FRAMES}, {sql_queries()} SELECT q.query_id, f.frame_id, round(0.8 * (list_dot_product(q.vec, f.emb) + list_dot_product(q.vec, list_reverse(f.emb))) / 2, 6) + 0.0 AS sim FROM queries q, frames f")
+def similarity_models(spark, sf_dir):
+    """The same by block products over the models' vectors end to end; a zero has no sign here."""
+    q, f = queries(spark, sf_dir), frames(spark, sf_dir)
+    both = f.withColumn("model", F.lit("a")).unionByName(f.withColumn("model", F.lit("b")).withColumn("emb", F.reverse("emb")))
+    asked = q.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return scoring.similarity_models(asked, both).withColumn("sim", F.round("sim", 6) + 0.0)
+
+
 @query(_BASE + " SELECT query_id, frame_id, round(sim, 6) AS sim FROM sims")
 def similarity_blocks(spark, sf_dir):
     return scoring.similarity_blocks(queries(spark, sf_dir), frames(spark, sf_dir)).withColumn("sim", F.round("sim", 6))

@@ -341,16 +341,17 @@ def test_block_similarity_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK_VALUES", 4)
     rows = lambda df: sorted((r.query_id, r.frame_id, round(r.sim, 9)) for r in df.collect())
     want = sorted((q, f, round(0.8 * (q + f), 9)) for q in range(5) for f in range(7))
-    assert rows(scoring.similarity_blocks(queries, frames)) == rows(scoring.similarity(queries, frames)) == want
+    assert rows(scoring.similarity_blocks(queries, frames)) == rows(scoring.similarity(queries, frames)) == rows(scoring.similarity_models(queries, frames)) == want
 
 
 def test_similarity_of_several_models(spark):
     vectors_of = {("q", "a"): [1.0, 2.0], ("q", "b"): [0.5, 0.0, 1.0], ("f", "a"): [3.0, -1.0], ("f", "b"): [2.0, 7.0, 1.0]}
     queries = spark.createDataFrame([(1, m, v) for (k, m), v in vectors_of.items() if k == "q"], "query_id long, model string, vec array<double>")
     frames = spark.createDataFrame([(5, m, v) for (k, m), v in vectors_of.items() if k == "f"], "frame_id long, model string, emb array<double>")
-    assert scoring.similarity(queries, frames).first()["sim"] == pytest.approx(0.8 * (1.0 + 2.0) / 2)
+    for way in (scoring.similarity, scoring.similarity_models):
+        assert way(queries, frames).first()["sim"] == pytest.approx(0.8 * (1.0 + 2.0) / 2)
     with pytest.raises(Exception):
-        scoring.similarity(queries, frames.filter("model = 'a'")).collect()
+        scoring.similarity_models(queries, frames.filter("model = 'a'")).collect()
 
 
 def test_frames_that_do_not_align(spark):
