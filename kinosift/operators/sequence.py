@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinosift.functions import vectors
 from kinosift.operators.joins import with_nearest
@@ -50,13 +56,53 @@ def within(spans: DataFrame, frames: DataFrame, keys: list[str], bucket_ms: int
 
 
 def with_best_moment(found: DataFrame, scores: DataFrame) -> DataFrame:
-    """Add start_ms, end_ms, best_ms and best_score: the frame inside with the highest mean over the scenes."""
+    """Add start_ms, end_ms, best_ms and best_score: the frame inside with the highest mean over the scenes, the first on ties.
+
+    Sequences and frames of a video come in one order of time, a sequence by its end, in one pass that pairs nothing: whatever the length
+    of a sequence, it is shuffled as one row.
+    """
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
     spans = found.withColumns({"start_ms": F.element_at("path", 1), "end_ms": F.element_at("path", -1)})
     keys = ["task_idx", "video_id"]
-    inside = within(spans.select(*keys, "ts_ms", "start_ms", "end_ms"), scores.select(*keys, F.col("ts_ms").cast("long").alias("at"), mean.alias("mean")), keys)
-    best = inside.groupBy(*keys, "ts_ms").agg(F.max_by(F.struct("at", "mean"), F.struct("mean", -F.col("at"))).alias("b"))
-    return spans.join(best, [*keys, "ts_ms"]).withColumns({"best_ms": F.col("b.at"), "best_score": F.col("b.mean")}).drop("b")
+    frames = scores.select(*keys, F.col("ts_ms").cast("long").alias("_time"), mean.cast("double").alias("_mean"))
+    ends = spans.select(*keys, F.col("end_ms").alias("_time"), F.col("start_ms").alias("_start"), F.struct(*spans.columns).alias("_row"))
+    rows = frames.unionByName(ends.filter("_start is not null"), allowMissingColumns=True).filter("task_idx is not null and video_id is not null and _time is not null")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_time", F.col("_start").isNotNull())
+    best = ordered.mapInArrow(_highest_inside, T.StructType([*ends.select("_row").schema, T.StructField("best_ms", T.LongType()), T.StructField("best_score", T.DoubleType())]))
+    return best.select("_row.*", "best_ms", "best_score")
+
+
+def _highest_inside(batches):
+    """Of rows in order of video and time: each sequence's _row with the time and the mean of the highest frame since its start.
+
+    Held are only the frames of the video that no later one exceeds; their means fall, so the first of them in a sequence is its highest.
+    """
+    times, ranks, means, last = [], [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        videos = [batch.column(k) for k in ("task_idx", "video_id")]
+        fresh = np.ones(batch.num_rows, dtype=bool)
+        fresh[1:] = np.any([pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False) for v in videos], axis=0)
+        fresh[0], last = last != [v[0].as_py() for v in videos], [v[-1].as_py() for v in videos]
+        mean = batch.column("_mean")
+        own = pc.fill_null(mean, 0.0).to_numpy(zero_copy_only=False)
+        # Doubles as integers of the same order: null lowest, NaN highest.
+        bits = np.where(np.isnan(own), np.nan, own + 0.0).view(np.int64)
+        rank = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+        rank[mean.is_null().to_numpy(zero_copy_only=False)] = -(2**63)
+        kept, at, score = [], [], []
+        for i, (new, time, start, r, m) in enumerate(zip(fresh.tolist(), batch.column("_time").to_pylist(), batch.column("_start").to_pylist(), rank.tolist(), mean.to_pylist())):
+            if new:
+                times, ranks, means = [], [], []
+            if start is None:
+                while ranks and ranks[-1] < r:
+                    times.pop(), ranks.pop(), means.pop()
+                times.append(time), ranks.append(r), means.append(m)
+            elif (first := bisect_left(times, start)) < len(times):
+                kept.append(i), at.append(times[first]), score.append(means[first])
+        taken = batch.column("_row").take(pa.array(kept, type=pa.int64()))
+        yield pa.RecordBatch.from_arrays([taken, pa.array(at, type=pa.int64()), pa.array(score, type=pa.float64())], names=["_row", "best_ms", "best_score"])
 
 
 def chosen_moment(mode: str, target: Column | None = None) -> Column:

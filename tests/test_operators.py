@@ -97,6 +97,29 @@ def test_chains_equal_a_loop(spark, seed):
     assert {(r.video_id, r.ts_ms): (r.score, r.path) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_best_moments_equal_a_loop(spark, seed):
+    draw = random.Random(seed)
+    frames = [(v, t, [draw.choice([0.1, 0.2, 0.3, None, float("nan"), -0.5])]) for v in range(4) for t in sorted(draw.sample(range(400), 60))]
+    paths = [(v, t, [draw.randint(0, t), t]) for v, t, _ in frames if t % 3] + [(9, 5, [1, 5]), (0, 10**6, [10**6 - 1, 10**6])]
+    # Spark's order: null first, NaN last.
+    rank = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    want = {}
+    for v, t, (start, end) in paths:
+        inside = [(rank(s[0]), -at, s[0]) for w, at, s in frames if w == v and start <= at <= end]
+        if inside:
+            want[v, t] = (start, end, -max(inside)[1], str(max(inside, key=lambda x: x[:2])[2]))
+    scores = spark.createDataFrame([(0, *f) for f in frames], "task_idx int, video_id long, ts_ms long, s array<double>")
+    found = sequence.with_best_moment(spark.createDataFrame([(0, *p) for p in paths], "task_idx int, video_id long, ts_ms long, path array<long>"), scores)
+    assert {(r.video_id, r.ts_ms): (r.start_ms, r.end_ms, r.best_ms, str(r.best_score)) for r in found.collect()} == want
+
+
+def test_best_moment_of_a_sequence_of_any_length(spark):
+    scores = _scores(spark, [(1, 0, [0.5, 0.5]), (1, 7, [0.9, 0.9]), (1, 10**15, [0.1, 0.1])])
+    found = spark.createDataFrame([(0, 1, 10**15, [0, 10**15])], "task_idx int, video_id long, ts_ms long, path array<long>")
+    assert [(r.start_ms, r.end_ms, r.best_ms) for r in sequence.with_best_moment(found, scores).collect()] == [(0, 10**15, 7)]
+
+
 def test_touching_intervals_clash(spark):
     rows = spark.createDataFrame([(0, 1, 0.9, 5, 0, 5), (0, 1, 0.8, 9, 5, 9), (0, 1, 0.7, 20, 10, 20)], "task_idx int, video_id long, score double, ts_ms long, start_ms long, end_ms long")
     assert sorted(r.ts_ms for r in suppression.per_video(rows).collect()) == [5, 20]

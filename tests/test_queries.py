@@ -40,3 +40,9 @@ def test_cosine_reaches_every_frame(spark):
     found = registry.QUERIES["cosine"](spark, SF)
     every = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert found.select("frame_id").distinct().count() == every and found.count() == every * found.select("query_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["chosen_edges"])
+def test_sequences_are_not_filed_under_buckets(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
