@@ -42,7 +42,7 @@ def test_cosine_reaches_every_frame(spark):
     assert found.select("frame_id").distinct().count() == every and found.count() == every * found.select("query_id").distinct().count()
 
 
-@pytest.mark.parametrize("name", ["chosen_edges", "sequence_best_frame"])
+@pytest.mark.parametrize("name", ["chosen_edges", "sequence_best_frame", "position_modes"])
 def test_sequences_are_not_filed_under_buckets(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
