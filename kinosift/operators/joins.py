@@ -84,12 +84,13 @@ def positioned(rows: DataFrame, order: list[str], ranges: int = 200) -> DataFram
     sample = rows.select(*order).orderBy(F.rand(17)).limit(10 * ranges).orderBy(*order).collect()
     key = F.struct(*order)
     cuts = sample[10::10]
-    at = F.lit(0)
+    dealt = rows.withColumn("_range", F.lit(0))
     if cuts:
         fields = rows.select(*order).schema
         literal = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, fields)]) for cut in cuts])
-        at = F.size(F.filter(literal, lambda c: c <= key))
-    dealt = rows.withColumn("_range", at)
+        # How many splitters are not above the row, by halving: one compiled comparison a step.
+        for step in (2**b for b in reversed(range(len(cuts).bit_length()))):
+            dealt = dealt.withColumn("_range", F.col("_range") + F.when(F.get(literal, F.col("_range") + (step - 1)) <= key, step).otherwise(0))
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

@@ -159,6 +159,19 @@ def test_positions_in_many_ranges(spark, ranges):
     assert [(r.k, r.i) for r in sorted(found, key=lambda r: r.position)] == want and sorted(r.position for r in found) == list(range(600))
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 3, 7, 8, 9, 33])
+def test_ranges_are_found_by_halving(spark, ranges):
+    draw = random.Random(ranges)
+    rows = [(draw.choice(["a", "a", "b", None]), draw.choice([0.5, float("nan"), -1.0, None]), i) for i in range(12 * ranges + 5)]
+    found = joins.positioned(spark.createDataFrame(rows, "k string, x double, i long"), ["k", "x", "i"], ranges)
+    # Not one comparison per splitter and row.
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # Spark's order: null first, NaN last.
+    rank = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", rank(r[1]), r[2]))
+    assert [(r.i, r.position) for r in found.orderBy("position").collect()] == [(r[2], n) for n, r in enumerate(want)]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_nearest_frames_equal_a_loop(spark, seed):
     draw = random.Random(seed)
