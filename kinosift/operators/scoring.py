@@ -18,12 +18,22 @@ FRAME_ROWS = 2_048
 def similarity(queries: DataFrame, frames: DataFrame) -> DataFrame:
     """query_id, frame_id, sim: 0.8 times the mean over models of the dot products, as expressions.
 
-    queries: query_id, model, vec; frames: frame_id, model, emb.  Every pair is shuffled once for each model; similarity_models gives the same
-    but for the last digits, and shuffles no pair.
+    queries: query_id, model, vec; frames: frame_id, model, emb.  The vectors of a frame are put together once, and each block of the stated query
+    set is broadcast to them; no pair is shuffled.  A pair counts the models that both have; similarity_models gives the same but for the last digits.
     """
-    pairs = frames.select("model", "frame_id", "emb").join(queries.select("model", "query_id", "vec"), "model")
-    scored = pairs.select("query_id", "frame_id", vectors.dot(F.col("vec"), F.col("emb")).alias("d"))
-    return scored.groupBy("query_id", "frame_id").agg((F.lit(SCALE) * F.avg("d")).alias("sim"))
+    of = lambda rows, key, vector, name: rows.filter("model is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("model", F.col(vector).alias("v")))).alias(name))
+    asked, seen = of(queries, "query_id", "vec", "_asked"), of(frames, "frame_id", "emb", "_seen")
+    dots = F.flatten(F.transform("_seen", lambda f: F.transform(F.filter("_asked", lambda q: q["model"] == f["model"]), lambda q: vectors.dot(q["v"], f["v"]))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    add = lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n")))
+    mean = F.aggregate(dots, start, add, lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
+    blocks, out = max(1, _block_count(queries)), None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = seen.crossJoin(F.broadcast(part)).filter(F.arrays_overlap("_seen.model", "_asked.model"))
+        scored = pairs.select("query_id", "frame_id", (F.lit(SCALE) * mean).alias("sim"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def similarity_models(queries: DataFrame, frames: DataFrame) -> DataFrame:
@@ -41,11 +51,16 @@ def stacked(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return found.select(key, F.flatten(F.transform("_all", lambda x: x[vector])).alias(vector), F.size("_all").alias("models"))
 
 
+def _block_count(queries: DataFrame) -> int:
+    """In how many blocks of about BLOCK_VALUES values the query set comes; none if it is empty."""
+    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    return -(-int(shape["n"]) * int(shape["width"] or 1) // BLOCK_VALUES)
+
+
 def _blocks(queries: DataFrame):
     """The query set in broadcast blocks of about BLOCK_VALUES values; a query_id is in one of them."""
     spark = queries.sparkSession
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
-    blocks = -(-int(shape["n"]) * int(shape["width"] or 1) // BLOCK_VALUES)
+    blocks = _block_count(queries)
     for block in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vec").collect()
         if part:

@@ -1,6 +1,7 @@
 """Hand-checked cases and comparisons with plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -390,6 +391,20 @@ def test_similarity_of_several_models(spark):
         scoring.similarity_models(queries, frames.filter("model = 'a'")).collect()
 
 
+@pytest.mark.parametrize("block", [1, 1_000])
+def test_similarity_shuffles_no_pair(spark, monkeypatch, block):
+    """A pair counts the models that both have; without any it is left out, and products that are null don't count."""
+    monkeypatch.setattr(scoring, "BLOCK_VALUES", block)
+    queries = spark.createDataFrame([(1, "a", [1.0, 2.0]), (1, "b", [4.0, 0.0]), (2, "a", [1.0, 1.0]), (3, "c", [9.0, 9.0]), (4, None, [1.0, 1.0])], "query_id long, model string, vec array<double>")
+    frames = spark.createDataFrame([(5, "a", [3.0, 1.0]), (5, "b", [1.0, 1.0]), (6, "b", [0.5, 1.0]), (7, "a", None), (8, "b", [None, 1.0]), (8, "a", [1.0, 0.0]), (9, None, [1.0, 1.0])], "frame_id long, model string, emb array<double>")
+    found = scoring.similarity(queries, frames)
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\((query_id#\d+L?, frame_id|model)", plan)
+    want = {(1, 5): 4.5, (1, 6): 2.0, (1, 7): None, (1, 8): 1.0, (2, 5): 4.0, (2, 7): None, (2, 8): 1.0}
+    assert {(r.query_id, r.frame_id): r.sim for r in found.collect()} == {k: None if v is None else pytest.approx(0.8 * v) for k, v in want.items()}
+    assert scoring.similarity(queries.limit(0), frames).count() == 0
+
+
 def test_frames_that_do_not_align(spark):
     left, right = (spark.createDataFrame([(k, 1)], f"id long, {side}_row int") for k, side in ((1, "left"), (2, "right")))
     with pytest.raises(Exception, match="don't align"):
