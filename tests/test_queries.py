@@ -46,3 +46,27 @@ def test_cosine_reaches_every_frame(spark):
 def test_sequences_are_not_filed_under_buckets(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["sequence_best_frame"])
+def test_an_event_is_shuffled_a_few_times(spark, tmp_path, name):
+    """At two sizes, without the broadcasts that hide a shuffle of small tables."""
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        listed = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(listed.apply, range(listed.size()))}
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for times in (1, 6):
+            copies = events.crossJoin(spark.range(times)).selectExpr("event_id + 1000003 * id AS event_id", "ts", "user_id + 1000003 * id AS user_id")
+            copies.write.parquet(f"{tmp_path}/{times}/events.parquet")
+            last = max(stages())
+            registry.QUERIES[name](spark, f"{tmp_path}/{times}").write.parquet(f"{tmp_path}/{times}/found")
+            assert 0 < sum(n for stage, n in stages().items() if stage > last) <= 6 * times * events.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
