@@ -48,7 +48,7 @@ def test_sequences_are_not_filed_under_buckets(spark, name):
     assert "Generate" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["sequence_best_frame"])
+@pytest.mark.parametrize("name", ["sequence_best_frame", "position_modes"])
 def test_an_event_is_shuffled_a_few_times(spark, tmp_path, name):
     """At two sizes, without the broadcasts that hide a shuffle of small tables."""
 
